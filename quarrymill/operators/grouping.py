@@ -1,0 +1,63 @@
+"""Consolidating pairwise matches into groups.
+
+Deterministic Boruvka hooking: in each round every component takes its smallest outgoing edge (edges ordered by their two
+ends), which hooks it to another component; the trees so formed collapse by pointer doubling; edges are relabelled
+with the roots and deduplicated. A round at least halves the components that still have edges, until none has.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrymill.plans.session import cut
+
+
+def _collapse(hooks: DataFrame) -> DataFrame:
+    """id, root of hooks(id, parent), in which the only cycles are pairs that hook to each other."""
+    up = hooks.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
+    # Of two that chose the same edge the smaller is the root.
+    isroot = (F.col("above") == F.col("id")) & (F.col("id") < F.col("parent"))
+    tree = hooks.join(up, "parent").select("id", F.when(isroot, F.col("id")).otherwise(F.col("parent")).alias("parent"))
+    tree = cut(tree)
+    while True:
+        up = tree.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
+        twice = tree.join(up, "parent").select("id", "parent", "above")
+        doubled = cut(twice)
+        moved = doubled.where("parent <> above").limit(1).count()
+        tree = doubled.select("id", F.col("above").alias("parent"))
+        if not moved:
+            return tree.select("id", F.col("parent").alias("root"))
+
+
+def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """id, group_id (the smallest id of the group) for each id linked to another one.
+
+    Rows with a null end and self pairs link nothing; repeats and mirrored repeats count once.
+    """
+    links = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    edges = cut(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    labels = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("root", F.col("id"))
+    while edges.limit(1).count():
+        ends = edges.select(F.col("u").alias("id"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("id"), F.col("u").alias("other")))
+        # Edges are ordered by (smaller end, larger end): the smallest edge of a component leads to its smallest neighbour.
+        hooks = cut(ends.groupBy("id").agg(F.min("other").alias("parent")))
+        roots = _collapse(hooks)
+        labels = cut(
+            labels.join(roots.select(F.col("id").alias("root"), F.col("root").alias("_new")), "root", "left").select("id", F.coalesce("_new", "root").alias("root"))
+        )
+        u, v = roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), roots.select(F.col("id").alias("v"), F.col("root").alias("rv"))
+        moved = edges.join(u, "u").join(v, "v").where("ru <> rv")
+        edges = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+    names = labels.groupBy("root").agg(F.min("id").alias("group_id"))
+    return labels.join(names, "root").select("id", "group_id")
+
+
+def similar_pairs(candidates: DataFrame, least: float = 0.95) -> DataFrame:
+    """a, b of the merge candidates whose similarity, as a share of 1, is at least `least`.
+
+    A similarity above 1 is a percentage; null, NaN or negative is unknown and links nothing.
+    """
+    s = F.col("similarity")
+    enough = F.when(s > 1, s >= least * 100).otherwise(s >= least) & ~F.isnan(s)
+    return candidates.where(enough).select(F.col("pattern_a").alias("a"), F.col("pattern_b").alias("b"))
