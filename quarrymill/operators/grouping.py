@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.plans.session import cut
+from quarrymill.plans.session import cut, discard
 
 
 def _collapse(hooks: DataFrame) -> DataFrame:
@@ -22,12 +22,13 @@ def _collapse(hooks: DataFrame) -> DataFrame:
     tree = cut(tree)
     while True:
         up = tree.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
-        twice = tree.join(up, "parent").select("id", "parent", "above")
-        doubled = cut(twice)
-        moved = doubled.where("parent <> above").limit(1).count()
-        tree = doubled.select("id", F.col("above").alias("parent"))
+        doubled = cut(tree.join(up, "parent").select("id", "parent", F.col("above").alias("root")))
+        discard(tree)
+        moved = doubled.where("parent <> root").limit(1).count()
         if not moved:
-            return tree.select("id", F.col("parent").alias("root"))
+            return doubled
+        tree = doubled.select("id", F.col("root").alias("parent"))
+        tree._quarrymill_path = doubled._quarrymill_path
 
 
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -43,12 +44,13 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Edges are ordered by (smaller end, larger end): the smallest edge of a component leads to its smallest neighbour.
         hooks = cut(ends.groupBy("id").agg(F.min("other").alias("parent")))
         roots = _collapse(hooks)
-        labels = cut(
-            labels.join(roots.select(F.col("id").alias("root"), F.col("root").alias("_new")), "root", "left").select("id", F.coalesce("_new", "root").alias("root"))
-        )
+        renamed = roots.select(F.col("id").alias("root"), F.col("root").alias("_new"))
+        relabelled = cut(labels.join(renamed, "root", "left").select("id", F.coalesce("_new", "root").alias("root")))
         u, v = roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), roots.select(F.col("id").alias("v"), F.col("root").alias("rv"))
         moved = edges.join(u, "u").join(v, "v").where("ru <> rv")
-        edges = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        fewer = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        discard(hooks, roots, labels, edges)
+        labels, edges = relabelled, fewer
     names = labels.groupBy("root").agg(F.min("id").alias("group_id"))
     return labels.join(names, "root").select("id", "group_id")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.plans.session import cut
+from quarrymill.plans.session import cut, discard
 
 #: Nodes of one partition, and of the last quotient.
 CAPACITY = 50_000
@@ -132,6 +132,7 @@ def solve_forest(links: DataFrame, with_path: bool = False, capacity: int = CAPA
         parts = -(-n // capacity)
         spread = cur.repartition(1) if parts <= 1 else _spread(cur, parts)
         done = cut(spread.mapInPandas(_fragments(with_path), _FRAGMENT))
+        discard(cur)
         levels.append(done)
         if parts <= 1:
             break

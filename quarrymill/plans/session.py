@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +52,46 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+_LEFT: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget how it was made."""
+    """Write df as a table in the shared folder and read it from there, without its lineage.
+
+    A written table survives the loss of executors, has known sizes and, unlike a checkpoint, hands none of the
+    constraints of its plan on, which grow without bound in loops.
+    """
     spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quarrymill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _LEFT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarrymill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing needs any more."""
+    for t in tables:
+        path = getattr(t, "_quarrymill_path", None)
+        if path and _LEFT.pop(path, None) is not None:
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path, spark in list(_LEFT.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
