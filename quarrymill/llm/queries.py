@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import credentials, encoding, layout
+from quarrymill.llm import credentials, encoding, layout, shared_spans
 from quarrymill.plans.session import table
 
 
@@ -30,5 +30,18 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p8_ids)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, sf, "documents")).pairs()
+
+
+def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, sf, "documents")).spans()
+
+
+def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return shared_spans.shared_amounts(documents, shared_spans.SharedSpans(documents).spans())
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p8_ids, p10_found, p10_spans, p10_shared)}
 SQL: dict[str, str] = {}
