@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import credentials, encoding, layout, shared_spans
+from quarrymill.llm import credentials, encoding, layout, packing, shared_spans
 from quarrymill.plans.session import table
 
 
@@ -30,6 +30,18 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf, "documents"))
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(encoding.token_sizes(table(spark, sf, "documents")), table(spark, sf, "pack_capacities"))
+
+
+def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_levels(_packed(spark, sf), table(spark, sf, "pack_capacities"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.SharedSpans(table(spark, sf, "documents")).pairs()
 
@@ -43,5 +55,5 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.shared_amounts(documents, shared_spans.SharedSpans(documents).spans())
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p8_ids, p10_found, p10_spans, p10_shared)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p8_ids, p9_packed, p9_fill, p10_found, p10_spans, p10_shared)}
 SQL: dict[str, str] = {}
