@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
+
+_NAMES = ("general", "relational")
 
-def modules() -> list:
-    from quarrymill.queries import general
 
-    return [general]
+def modules() -> list:
+    return [importlib.import_module(f"quarrymill.queries.{n}") for n in _NAMES]
