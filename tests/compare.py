@@ -78,5 +78,5 @@ if __name__ == "__main__":
         try:
             said = difference(spark, queries[name], sql[name], folder) if name in sql else f"no SQL; {queries[name](spark, folder).count()} rows"
         except Exception as e:  # noqa: BLE001
-            said = f"error: {str(e)[:1500]}"
+            said = f"error: {str(e)[:400]}"
         print(f"{name}: {said or 'same'} ({time.time() - began:.1f} s)", flush=True)
