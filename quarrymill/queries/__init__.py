@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ("general", "relational", "statistics", "content", "graphs", "states")
+_NAMES = ("general", "relational", "statistics", "content", "graphs", "states", "flows")
 
 
 def modules() -> list:
