@@ -6,7 +6,7 @@ commas. What the original lacks against that layout is its expansion. Measured o
 
 * minified: the canonical layout would insert blanks or line breaks for more than EXPANSION of the characters
 * generated: UNIFORM of the lines, MIN_LINES at least, have one of two shapes (words, numbers and strings blanked out)
-* data: literals take LITERALS of the characters, there are MIN_DATA of those, and hardly a word stands outside literals
+* data: literals take LITERALS of the characters, or four times as many as words, there are MIN_DATA of those, and hardly a word stands outside literals
 * generated, too: a comment before the first line of code says so; vendored: it names another project as the source, or
   the file lies in a library's folder of a folder for third-party code, or its code is that of such a file
 """
@@ -26,6 +26,8 @@ UNIFORM = 0.9
 MIN_LINES = 6
 LITERALS = 0.6
 MIN_DATA = 300
+#: Shorter code is not looked for among vendored files.
+LEAST_COPY = 120
 #: Code has more different words than data, however long a literal it carries.
 DATA_WORDS = 12
 
@@ -106,8 +108,10 @@ def measures(code: list[str]) -> tuple[float, float, float, int, int]:
         uniform = sum(n for _, n in shapes.most_common(2)) / sum(shapes.values())
     else:
         uniform = 0.0
-    words = len(set(_WORD.findall(bare))) if literal >= LITERALS else 0
-    return expansion, uniform, literal, words, size
+    found = _WORD.findall(bare) if literal >= LITERALS / 2 else []
+    if LITERALS / 2 <= literal < LITERALS and 4 * sum(map(len, found)) <= literal * size:  # short numbers, long lists of them
+        literal = LITERALS
+    return expansion, uniform, literal, len(set(found)), size
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +126,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out["minified"].append(expansion > EXPANSION and size > MIN_DATA)
             out["vendored"].append(vendored_path(file if isinstance(file, str) else None, root if isinstance(root, str) else None) or any(VENDORED_HEAD.search(x) for x in head))
             out["data"].append(data)
-            out["code_hash"].append(hash_of(code) if size >= MIN_DATA else None)
+            out["code_hash"].append(hash_of(code) if size >= LEAST_COPY else None)
         yield pd.DataFrame(out)
 
 
