@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.lexicon import Lexicon, compile_lexicon
-from quarrymill.plans.session import shared_folder
+from quarrymill.plans.session import shared_folder, spread
 
 #: Words in the lexicon: the most frequent of all. Bounds what the driver sees.
 LEXICON_WORDS = 50_000
@@ -109,7 +109,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(texts: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all texts (letters of ASCII, with the blank before them), at most `most`, that occur more than once."""
-    counts = texts.where(F.length("text") > 0).select("text").mapInArrow(_count_words, "word string, n bigint")
+    counts = spread(texts.where(F.length("text") > 0).select("text")).mapInArrow(_count_words, "word string, n bigint")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
     return [r.word for r in top.collect()]
 
@@ -161,7 +161,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, lexico
                 flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([docs.slice(lo, 2000), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_sizes(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -174,4 +174,4 @@ def token_sizes(documents: DataFrame, vocabulary: str | None = None) -> DataFram
             sizes = [len(bpe.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "size"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, size bigint")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, size bigint")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.plans.session import cut, spread
+
 EXPANSION = 0.08
 UNIFORM = 0.9
 MIN_LINES = 6
@@ -141,7 +143,7 @@ def described_files(documents: DataFrame) -> DataFrame:
 
     A null or empty text is none of them by its layout, but may still be vendored by its path.
     """
-    rows = documents.where(F.col("source") == "source_file").select("doc_id", "text", "file", "root_path")
+    rows = spread(documents.where(F.col("source") == "source_file").select("doc_id", "text", "file", "root_path"))
     return rows.mapInPandas(_describe, "doc_id bigint, generated boolean, minified boolean, vendored boolean, data boolean, code_hash string")
 
 
@@ -150,8 +152,6 @@ def not_hand_written(documents: DataFrame) -> DataFrame:
 
     Files with the code of a vendored file (comments and imports apart) are vendored as well, wherever they lie.
     """
-    from quarrymill.plans.session import cut
-
     files = cut(described_files(documents))
     third = files.where("vendored AND code_hash IS NOT NULL").select("code_hash").distinct()
     # All files of one text have one hash, so only those not yet known are looked up: no join on a hot hash.

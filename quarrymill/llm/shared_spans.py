@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.plans.session import cut
+from quarrymill.plans.session import cut, spread
 
 LEAST = 200
 PHRASE = 64
@@ -212,7 +212,7 @@ class SharedSpans:
         self.least, self.size = least, size
         texts = documents.where((F.length("text") >= least) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         self.texts = texts
-        marks = cut(texts.mapInArrow(_sample(least, size), "doc_id bigint, kind binary, h bigint, pos int"))
+        marks = cut(spread(texts).mapInArrow(_sample(least, size), "doc_id bigint, kind binary, h bigint, pos int"))
         kinds = marks.groupBy("doc_id").agg(F.first("kind").alias("kind"))
         chosen = kinds.groupBy("kind").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         #: doc_id, rep of each text that has copies
