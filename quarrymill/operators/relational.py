@@ -39,11 +39,14 @@ def located(matches: DataFrame) -> DataFrame:
 
 
 def pattern_groups(matches: DataFrame) -> DataFrame:
-    """pattern_id, locations, file_spread, mean, stddev (sample, 0 for one) of the places of each pattern."""
+    """pattern_id, locations, file_spread, mean, stddev (sample, 0 for one) of the places of each pattern.
+
+    The mean is of decimals, so that it does not depend on the order of summation.
+    """
     return located(matches).groupBy("pattern_id").agg(
         F.count(F.lit(1)).alias("locations"),
         F.countDistinct("file").alias("file_spread"),
-        F.avg("confidence").alias("mean"),
+        (F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double") / F.count("confidence")).alias("mean"),
         F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("stddev"),
     )
 

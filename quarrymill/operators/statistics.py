@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill.functions import numeric
 
@@ -113,7 +114,7 @@ def beta_posterior(hits: Column, total: Column) -> dict[str, Column]:
     return {"alpha": a, "beta": b, "mean": a / (a + b), "variance": a * b / ((a + b) * (a + b) * (a + b + 1))}
 
 
-@F.pandas_udf("struct<low double, high double>")
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def credible_interval(alpha: pd.Series, beta: pd.Series) -> pd.DataFrame:
     """Central 95 % interval of a Beta distribution; very sharp ones are its mean +- 1e-6, invalid parameters give 0..1."""
     import numpy as np

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Personal data by pattern (a common subset of regular expression dialects) and what replaces it.
 PERSONAL = {
@@ -98,7 +99,7 @@ def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(text: pd.Series) -> pd.Series:
     """Bits of entropy of a text's UTF-8 bytes; 0 for an empty one."""
     import numpy as np
@@ -113,7 +114,7 @@ def byte_entropy(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def summary(text: pd.Series) -> pd.Series:
     """The two most central sentences by TextRank (cosine of word counts, damping 0.85), in their order."""
     import re

@@ -101,12 +101,12 @@ def distinct_union_nodes(t: Tables) -> DataFrame:
     return m.select(F.explode(F.array("pattern_a", "pattern_b")).alias("node")).where("node IS NOT NULL").distinct()
 
 
-@query(f"""WITH {_HELD} SELECT coalesce(category, 'all') AS category, count(*) AS patterns, CAST(sum(location_count) AS BIGINT) AS locations, round(avg(confidence_mean), 6) AS confidence,
+@query(f"""WITH {_HELD} SELECT coalesce(category, 'all') AS category, count(*) AS patterns, CAST(sum(location_count) AS BIGINT) AS locations, round(CAST(sum(CAST(confidence_mean AS DECIMAL(18, 9))) AS DOUBLE) / count(confidence_mean), 6) AS confidence,
 round(count(*) FILTER (WHERE is_dirty) / count(*), 6) AS dirty FROM h GROUP BY ROLLUP (category)""")
 def health_rollup(t: Tables) -> DataFrame:
     """Each category and all together, in one pass."""
     return held(t).rollup("category").agg(
-        F.count(F.lit(1)).alias("patterns"), F.sum("location_count").alias("locations"), F.round(F.avg("confidence_mean"), 6).alias("confidence"), F.round(F.count_if("is_dirty") / F.count(F.lit(1)), 6).alias("dirty")
+        F.count(F.lit(1)).alias("patterns"), F.sum("location_count").alias("locations"), F.round(F.sum(F.col("confidence_mean").cast("decimal(18,9)")).cast("double") / F.count("confidence_mean"), 6).alias("confidence"), F.round(F.count_if("is_dirty") / F.count(F.lit(1)), 6).alias("dirty")
     ).withColumn("category", F.coalesce("category", F.lit("all")))
 
 
@@ -169,7 +169,7 @@ SQL["scan_diff"] = SQL["scan_diff"].replace("WHERE location_id", "WHERE matched_
 
 
 @query(f"""WITH {_PL}, l AS (SELECT pattern_id, file, line, column_num, max(confidence) AS c FROM pl GROUP BY ALL)
-SELECT pattern_id, count(*) AS locations, count(DISTINCT file) AS file_spread, round(avg(c), 6) AS mean, round(coalesce(stddev_samp(c), 0), 6) AS stddev FROM l GROUP BY 1""")
+SELECT pattern_id, count(*) AS locations, count(DISTINCT file) AS file_spread, round(CAST(sum(CAST(c AS DECIMAL(18, 9))) AS DOUBLE) / count(c), 6) AS mean, round(coalesce(stddev_samp(c), 0), 6) AS stddev FROM l GROUP BY 1""")
 def pattern_grouping(t: Tables) -> DataFrame:
     g = R.pattern_groups(t.pattern_locations.distinct())
     return g.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
