@@ -91,7 +91,7 @@ _DUMMY = re.compile(
     r"|none|null|nil|undefined|true|false|empty|string|str|text|bool|boolean|int|number|any|object|bytes|required|optional|unset)$",
     re.I,
 )
-_ROOT = re.compile(r"(?:process|os|env|config|cfg|conf|settings|secrets?|vault|ctx|context|self|this|props|properties|system|deno|options|opts|args|params|request|req|app|data|var|local|module|each)\.", re.I)
+_ROOT = re.compile(r"(?:process|os|env|config|cfg|conf|settings|secrets?|vault|ctx|context|system|deno)\.|(?:self|this|props|properties|options|opts|args|params|request|req|app|data|var|local|module|each)\.[A-Za-z_.]+$", re.I)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -141,6 +141,16 @@ def _word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def _random(letters: str) -> bool:
+    """Whether a run of letters is no word or name: too many changes of case, or too few vowels."""
+    if len(letters) < 8:
+        return False
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", letters)
+    if letters.lower() != letters and letters.upper() != letters:
+        return len(letters) / len(parts) < 3.3
+    return sum(c in "aeiouAEIOU" for c in letters) < 0.25 * len(letters)
+
+
 def plausible(value: str, bare: bool = False) -> bool:
     """Whether a value in the place of a secret is one: no placeholder, reference, prose or address."""
     if len(value) < 5 or len(set(value)) < 3 or any(c.isspace() for c in value):
@@ -150,12 +160,10 @@ def plausible(value: str, bare: bool = False) -> bool:
     if re.fullmatch(r"[A-Z][A-Z0-9_]*", value) and any(n.upper() in value for n in ("PASS", "SECRET", "TOKEN", "_KEY", "APIKEY", "AUTH", "PWD")) and not value.startswith(("AKIA", "ASIA")):
         return False
     if bare:
-        if re.fullmatch(r"[A-Za-z_]+", value) or _ROOT.match(value):
+        if re.fullmatch(r"[A-Za-z_]+", value) and not _random(value) or _ROOT.match(value):
             return False
         if re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and not re.search(r"\d", value):
             return False
-        if re.fullmatch(r"[a-z]+[A-Z][A-Za-z]*", value):
-            return False
     return True
 
 
@@ -229,7 +237,7 @@ def _after_name(text: str, start: int, end: int) -> list[tuple[int, int]]:
         v = re.compile(r"[^\s\"'`;&]+").match(text, at)
         if not v or not re.search(r"[;&?][ \t]*[\w ]*$|[\"'][\w ]*$", text[line:start]):
             return []
-        return [v.span()] if plausible(v[0], True) else []
+        return [v.span()] if plausible(v[0]) else []
     if setting or _COMMENT.match(text[line:start]):
         v = _REST.match(text, at)
         if not v:
@@ -239,7 +247,8 @@ def _after_name(text: str, start: int, end: int) -> list[tuple[int, int]]:
             return []
         if re.search(r"[A-Za-z_]\w*[(\[]", v[0]):
             return []
-        return [(a, b)] if plausible(v[0], True) else []
+        assigned = "=" in m[0] and not m[0].strip(" \t=") and " " not in m[0]  # NAME=value of an environment or a properties file
+        return [(a, b)] if plausible(v[0], not (assigned and v[0].isalpha())) else []
     return []
 
 
@@ -310,7 +319,7 @@ def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[in
             return [[m.span(2)]]
     elif kind == "bearer":
         m = _BEARER.match(text, start)
-        if m and plausible(m[1]) and re.search(r"\d", m[1]) and not text[m.end() : m.end() + 1] == "(":
+        if m and plausible(m[1]) and (re.search(r"\d", m[1]) or _random(m[1])) and not text[m.end() : m.end() + 1] == "(":
             return [[m.span(1)]]
     elif kind == "basic":
         m = _BASIC.match(text, start)
@@ -337,11 +346,11 @@ def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[in
     elif kind == "login":
         m = _CALL.match(text, end - 1)
         spans = _literal(text, m.end(), m[1]) if m else []
-        if spans and re.search(r"\d|[-.+/=]", "".join(text[a:b] for a, b in spans)):
+        if spans and (re.search(r"\d|[-.+/=]", value := "".join(text[a:b] for a, b in spans)) or _random(value)):
             return [spans]
     elif kind == "parameter":
         m = re.compile(r"[^\s\"'`&#<>;]{6,}").match(text, end)
-        if m and plausible(m[0]) and re.search(r"[\d\-._]", m[0]):
+        if m and plausible(m[0]) and (re.search(r"[\d\-._]", m[0]) or len(m[0]) >= 16):
             return [[m.span()]]
     elif kind == "note":
         line = text.rfind("\n", 0, start) + 1
