@@ -16,7 +16,8 @@ _V = "v AS (SELECT DISTINCT * FROM violations WHERE line IS NOT NULL AND file IS
 
 
 def findings(t: Tables) -> DataFrame:
-    return t.violations.where("line IS NOT NULL AND file IS NOT NULL AND message IS NOT NULL AND rule_id IS NOT NULL").distinct()
+    v = t.once("violations", "id", "file", "line", "message", "rule_id", "severity", "suppressed")
+    return v.where("line IS NOT NULL AND file IS NOT NULL AND message IS NOT NULL AND rule_id IS NOT NULL")
 
 
 @query(f"""WITH {_V} SELECT id, to_json({{'ruleId': rule_id, 'level': CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' WHEN 'quality' THEN 'note' WHEN 'info' THEN 'note' ELSE 'none' END, 'message': {{'text': message}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': file}}, 'region': {{'startLine': CAST(line AS BIGINT)}}}}}}]}})::VARCHAR AS result FROM v""")

@@ -20,6 +20,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf, name)
 
+    def once(self, name: str, key: str, *columns: str) -> DataFrame:
+        """The named columns of a table whose rows may come twice, identical: each key once. Nothing else is read."""
+        return getattr(self, name).select(key, *columns).distinct()
+
 
 def collection() -> tuple[dict[str, Query], dict[str, str], Callable]:
     """QUERIES, SQL, and a decorator that registers a function of Tables under its name, with its SQL if there is one."""

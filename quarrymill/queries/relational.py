@@ -30,7 +30,7 @@ LEFT JOIN (SELECT pattern_id, count(*) AS n FROM v WHERE severity = 'error' GROU
 LEFT JOIN (SELECT pattern_id, count(*) AS n FROM f GROUP BY 1) x USING (pattern_id)""")
 def audit_join(t: Tables) -> DataFrame:
     """Five pre-aggregated left joins onto the patterns."""
-    pl, v, f = t.pattern_locations.distinct(), t.violations.distinct(), t.feedback.distinct()
+    pl, v, f = t.once("pattern_locations", "location_id", "pattern_id", "is_outlier"), t.once("violations", "id", "pattern_id", "severity"), t.once("feedback", "id", "pattern_id")
     places = pl.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("detections"), F.count_if("is_outlier").alias("outliers"))
     errors = v.where("severity = 'error'").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("errors"))
     return R.fan_in(
@@ -52,7 +52,7 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 @query(f"WITH {_V} SELECT pattern_id, severity FROM (SELECT pattern_id, severity, count(*) AS n FROM v GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY n DESC, severity) = 1")
 def top_category(t: Tables) -> DataFrame:
-    return R.top_value(t.violations.distinct(), ["pattern_id"], "severity")
+    return R.top_value(t.once("violations", "id", "pattern_id", "severity"), ["pattern_id"], "severity")
 
 
 @query(f"WITH {_HELD} SELECT pattern_id FROM h WHERE NOT EXISTS (SELECT 1 FROM merge_candidates m WHERE m.pattern_b = h.pattern_id)")
@@ -66,7 +66,7 @@ def needs_review_antijoin(t: Tables) -> DataFrame:
     from quarrymill.functions.keys import loose_key
 
     done = t.feedback.where(F.col("action").isin("dismiss", "fix")).select(loose_key(F.col("violation_id")).alias("_key")).distinct()
-    open_ = t.violations.distinct().where("NOT suppressed").withColumn("_key", loose_key(F.col("id")))
+    open_ = t.once("violations", "id", "severity", "suppressed").where("NOT suppressed").withColumn("_key", loose_key(F.col("id")))
     return open_.join(done, "_key", "left_anti").select("id", "severity")
 
 
@@ -74,7 +74,7 @@ def needs_review_antijoin(t: Tables) -> DataFrame:
 def changed_files_semijoin(t: Tables) -> DataFrame:
     """Matches in changed files."""
     changed = t.violations.where("is_new").select("file").distinct()
-    return t.pattern_locations.distinct().join(changed, "file", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return t.once("pattern_locations", "location_id", "file").join(changed, "file", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT pattern_a, pattern_b, similarity FROM merge_candidates m WHERE pattern_a IS NOT NULL AND pattern_b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM aggregated_patterns p WHERE p.is_dirty AND p.pattern_id IN (m.pattern_a, m.pattern_b))")
@@ -115,11 +115,11 @@ w AS (SELECT split_part(file, '/', 2) || '/' || split_part(file, '/', 3) AS proj
 x AS (SELECT project, count(*) AS violations, count(*) FILTER (WHERE severity = 'error') AS errors, count(DISTINCT file) AS files FROM w GROUP BY 1)
 SELECT r.root, r.scans, r.completed, CAST(r.last_done AS BIGINT) AS last_done, coalesce(x.violations, 0) AS violations, coalesce(x.errors, 0) AS errors, coalesce(x.files, 0) AS files FROM r LEFT JOIN x ON x.project = substr(r.root, 2)""")
 def dashboard_project_health(t: Tables) -> DataFrame:
-    roots = t.scan_history.distinct().groupBy(F.rtrim("root_path", F.lit("/")).alias("root")).agg(
+    roots = t.once("scan_history", "id", "root_path", "status", "completed_at").groupBy(F.rtrim("root_path", F.lit("/")).alias("root")).agg(
         F.count(F.lit(1)).alias("scans"), F.count_if(F.col("status") == "completed").alias("completed"), F.max("completed_at").cast("bigint").alias("last_done")
     )
     per_project = (
-        t.violations.distinct().groupBy(F.concat(F.lit("/"), F.split_part("file", F.lit("/"), F.lit(2)), F.lit("/"), F.split_part("file", F.lit("/"), F.lit(3))).alias("root"))
+        t.once("violations", "id", "file", "severity").groupBy(F.concat(F.lit("/"), F.split_part("file", F.lit("/"), F.lit(2)), F.lit("/"), F.split_part("file", F.lit("/"), F.lit(3))).alias("root"))
         .agg(F.count(F.lit(1)).alias("violations"), F.count_if(F.col("severity") == "error").alias("errors"), F.countDistinct("file").alias("files"))
     )
     return R.fan_in(roots, "root", [(per_project, {"violations": 0, "errors": 0, "files": 0})])
@@ -127,14 +127,14 @@ def dashboard_project_health(t: Tables) -> DataFrame:
 
 @query(f"WITH {_V} SELECT pattern_id, count(*) AS n, count(*) FILTER (WHERE NOT suppressed) AS active FROM v GROUP BY 1 ORDER BY n DESC, pattern_id LIMIT 20")
 def top_violations(t: Tables) -> DataFrame:
-    g = t.violations.distinct().groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("suppressed")).alias("active"))
+    g = t.once("violations", "id", "pattern_id", "suppressed").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("suppressed")).alias("active"))
     return g.orderBy(F.desc("n"), "pattern_id").limit(20)
 
 
 @query(f"WITH {_V} SELECT strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') AS day, severity, count(*) AS n FROM v GROUP BY 1, 2")
 def daily_trend(t: Tables) -> DataFrame:
     day = F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd")
-    return t.violations.distinct().groupBy(day.alias("day"), "severity").agg(F.count(F.lit(1)).alias("n"))
+    return t.once("violations", "id", "created_at", "severity").groupBy(day.alias("day"), "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id, date_trunc('month', ts))")
@@ -171,7 +171,7 @@ SQL["scan_diff"] = SQL["scan_diff"].replace("WHERE location_id", "WHERE matched_
 @query(f"""WITH {_PL}, l AS (SELECT pattern_id, file, line, column_num, max(confidence) AS c FROM pl GROUP BY ALL)
 SELECT pattern_id, count(*) AS locations, count(DISTINCT file) AS file_spread, round(CAST(sum(CAST(c AS DECIMAL(18, 9))) AS DOUBLE) / count(c), 6) AS mean, round(coalesce(stddev_samp(c), 0), 6) AS stddev FROM l GROUP BY 1""")
 def pattern_grouping(t: Tables) -> DataFrame:
-    g = R.pattern_groups(t.pattern_locations.distinct())
+    g = R.pattern_groups(t.pattern_locations.select("pattern_id", "file", "line", "column_num", "confidence"))
     return g.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
 
 

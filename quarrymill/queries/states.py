@@ -217,7 +217,7 @@ def risk_score(t: Tables) -> DataFrame:
 
 @query("WITH f AS (SELECT DISTINCT * FROM feedback), g AS (SELECT author, count(*) AS n, count(*) FILTER (WHERE action = 'fix') AS good, count(*) FILTER (WHERE action = 'dismiss') AS bad FROM f GROUP BY 1) SELECT author, n, round(good / (n + 1) * (1 - bad / (n + 1)), 6) AS trust FROM g")
 def trust_score(t: Tables) -> DataFrame:
-    g = t.feedback.distinct().groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "fix").alias("good"), F.count_if(F.col("action") == "dismiss").alias("bad"))
+    g = t.once("feedback", "id", "author", "action").groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "fix").alias("good"), F.count_if(F.col("action") == "dismiss").alias("bad"))
     return g.select("author", "n", F.round(C.trust(F.col("good"), F.col("bad"), F.col("n")), 6).alias("trust"))
 
 
@@ -237,20 +237,20 @@ def feedback_deltas(t: Tables) -> DataFrame:
     a, r = F.col("action"), F.col("dismissal_reason")
     up = F.when(a == "fix", 1.0).when(a == "escalate", 0.5).otherwise(0.0)
     down = F.when(a == "dismiss", F.when(r == "false_positive", 0.5).when(r == "wont_fix", 0.0).otherwise(0.25)).when(a == "suppress", 0.1).otherwise(0.0)
-    return t.feedback.distinct().groupBy("pattern_id").agg(F.round(F.sum(up), 6).alias("alpha"), F.round(F.sum(down), 6).alias("beta"))
+    return t.once("feedback", "id", "pattern_id", "action", "dismissal_reason").groupBy("pattern_id").agg(F.round(F.sum(up), 6).alias("alpha"), F.round(F.sum(down), 6).alias("beta"))
 
 
 @query("""WITH v AS (SELECT DISTINCT * FROM violations), c AS (SELECT split_part(rule_id, '/', 1) AS area, CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 5 WHEN 'quality' THEN 2 ELSE 0.5 END AS w FROM v WHERE NOT suppressed) SELECT area, CAST(greatest(0, least(100, 100 - sum(w))) AS DOUBLE) AS score FROM c GROUP BY 1""")
 def security_posture(t: Tables) -> DataFrame:
     s = F.col("severity")
-    rows = t.violations.distinct().where("NOT suppressed").withColumn("area", F.split_part("rule_id", F.lit("/"), F.lit(1)))
+    rows = t.once("violations", "id", "rule_id", "severity", "suppressed").where("NOT suppressed").withColumn("area", F.split_part("rule_id", F.lit("/"), F.lit(1)))
     return C.penalty_score(rows, "area", F.when(s == "error", 10.0).when(s == "warning", 5.0).when(s == "quality", 2.0).otherwise(0.5))
 
 
 @query("""WITH v AS (SELECT DISTINCT * FROM violations), g AS (SELECT split_part(rule_id, '/', 1) AS gate, count(*) AS n, count(*) FILTER (WHERE severity = 'error' AND NOT suppressed) AS errors FROM v GROUP BY 1), s AS (SELECT gate, 100 * (1 - errors / n) AS score, n AS w FROM g)
 SELECT round(sum(score * w) / sum(w), 6) AS weighted, bool_and(score >= 50) AS all_pass, bool_or(score >= 50) AS any_pass, round(avg(CASE WHEN score >= 50 THEN 1 ELSE 0 END), 6) AS passed FROM s""")
 def policy_weighted(t: Tables) -> DataFrame:
-    g = t.violations.distinct().groupBy(F.split_part("rule_id", F.lit("/"), F.lit(1)).alias("gate")).agg(F.count(F.lit(1)).alias("w"), F.count_if((F.col("severity") == "error") & ~F.col("suppressed")).alias("errors"))
+    g = t.once("violations", "id", "rule_id", "severity", "suppressed").groupBy(F.split_part("rule_id", F.lit("/"), F.lit(1)).alias("gate")).agg(F.count(F.lit(1)).alias("w"), F.count_if((F.col("severity") == "error") & ~F.col("suppressed")).alias("errors"))
     s = g.withColumn("score", 100 * (1 - F.col("errors") / F.col("w")))
     ok = F.col("score") >= 50
     return s.agg(F.round(F.sum(F.col("score") * F.col("w")) / F.sum("w"), 6).alias("weighted"), F.bool_and(ok).alias("all_pass"), F.bool_or(ok).alias("any_pass"), F.round(F.avg(F.when(ok, 1).otherwise(0)), 6).alias("passed"))

@@ -25,7 +25,7 @@ def texts(t: Tables) -> DataFrame:
 
 @query(f"WITH v AS (SELECT DISTINCT * FROM violations) SELECT id FROM v WHERE created_at >= {NOW} - (CASE WHEN severity = 'error' THEN 365 WHEN severity = 'warning' THEN 180 ELSE 120 END) * 86400")
 def tiered_retention(t: Tables) -> DataFrame:
-    return upkeep.retained(t.violations.distinct(), "created_at", F.lit(NOW), {"error": 365, "warning": 180}, "severity", 120).select("id")
+    return upkeep.retained(t.once("violations", "id", "created_at", "severity"), "created_at", F.lit(NOW), {"error": 365, "warning": 180}, "severity", 120).select("id")
 
 
 @query(f"WITH {_L} SELECT location_id FROM l WHERE pattern_id NOT IN (SELECT pattern_id FROM aggregated_patterns)")
@@ -94,7 +94,7 @@ def constraint_verification(t: Tables) -> DataFrame:
 
 @query("""WITH f AS (SELECT DISTINCT * FROM feedback), g AS (SELECT detector_id, count(*) AS n, count(*) FILTER (WHERE coalesce(action = 'dismiss', false)) AS bad FROM f GROUP BY 1) SELECT detector_id, round(CASE WHEN n < 5 THEN 1 ELSE least(2, 1 + bad / n * 0.5) END, 6) AS weight FROM g""")
 def adaptive_weights(t: Tables) -> DataFrame:
-    f = t.feedback.distinct().withColumn("bad", F.coalesce(F.col("action") == "dismiss", F.lit(False)))
+    f = t.once("feedback", "id", "detector_id", "action").withColumn("bad", F.coalesce(F.col("action") == "dismiss", F.lit(False)))
     return upkeep.adaptive_weights(f, "detector_id", "bad").withColumn("weight", F.round("weight", 6))
 
 
@@ -136,7 +136,7 @@ def n_plus_one(t: Tables) -> DataFrame:
 
 @query("""WITH g AS (SELECT rule_id, count(*) AS n, count(*) FILTER (WHERE severity = 'error' AND NOT suppressed) AS errors FROM (SELECT DISTINCT * FROM violations) GROUP BY 1) SELECT rule_id, CASE WHEN split_part(rule_id, '/', 1) IN ('security', 'auth') AND errors > 0 THEN 'failed' WHEN errors / n > 0.5 THEN 'failed' ELSE 'passed' END AS state FROM g""")
 def gate_results(t: Tables) -> DataFrame:
-    g = t.violations.distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("severity") == "error") & ~F.col("suppressed")).alias("errors"))
+    g = t.once("violations", "id", "rule_id", "severity", "suppressed").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("severity") == "error") & ~F.col("suppressed")).alias("errors"))
     strict = F.split_part("rule_id", F.lit("/"), F.lit(1)).isin("security", "auth") & (F.col("errors") > 0)
     return g.select("rule_id", F.when(strict | (F.col("errors") / F.col("n") > 0.5), "failed").otherwise("passed").alias("state"))
 
@@ -159,7 +159,7 @@ def progressive_severity(t: Tables) -> DataFrame:
 
 @query("""WITH f AS (SELECT DISTINCT * FROM feedback) SELECT detector_id, count(*) AS n, round(count(*) FILTER (WHERE dismissal_reason = 'false_positive') / count(*), 6) AS false_positive, round(count(*) FILTER (WHERE action = 'fix') / count(*), 6) AS acted, count(*) >= 10 AND count(*) FILTER (WHERE dismissal_reason = 'false_positive') / count(*) > 0.2 AS disabled FROM f GROUP BY 1""")
 def feedback_tracker(t: Tables) -> DataFrame:
-    g = t.feedback.distinct().groupBy("detector_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dismissal_reason") == "false_positive").alias("fp"), F.count_if(F.col("action") == "fix").alias("fix"))
+    g = t.once("feedback", "id", "detector_id", "dismissal_reason", "action").groupBy("detector_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dismissal_reason") == "false_positive").alias("fp"), F.count_if(F.col("action") == "fix").alias("fix"))
     fp = F.col("fp") / F.col("n")
     return g.select("detector_id", "n", F.round(fp, 6).alias("false_positive"), F.round(F.col("fix") / F.col("n"), 6).alias("acted"), ((F.col("n") >= 10) & (fp > 0.2)).alias("disabled"))
 
