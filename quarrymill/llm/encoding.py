@@ -120,7 +120,8 @@ def write_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str
     data = compile_lexicon([(w.encode(), merge(w.encode())) for w in words])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     where = urlparse(shared_folder(spark))
-    if where.scheme in ("", "file"):
+    scheme = where.scheme or urlparse(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").scheme
+    if scheme == "file":
         import os
 
         os.makedirs(where.path, exist_ok=True)

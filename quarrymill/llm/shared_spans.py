@@ -3,7 +3,7 @@
 1. Every text gives sparse phrases of PHRASE characters: of each run of least-PHRASE+1 neighbouring ones, the one with the
    smallest hash. Texts that have a span of `least` characters in common have all of one such run in common, hence a phrase at
    the same place in it: no span is missed, whatever the sampling.
-2. Phrases that come in two different texts recur. The texts that have one are read again; each batch of them is a shard
+2. Phrases that come in two different texts recur. The texts that have one are read again, in shards
    whose phrases are confirmed by their characters and compiled into an Aho-Corasick automaton, through which the texts are
    streamed to locate every occurrence, with what stands around it.
 3. Occurrences of a phrase are compared two by two, in blocks, by how far they agree to the left and right of it: with
@@ -26,6 +26,8 @@ from quarrymill.plans.session import cut, spread
 
 LEAST = 200
 PHRASE = 64
+#: Phrases of one automaton: a shard ends with the text that reaches so many.
+SHARD = 4000
 #: Occurrences of one phrase that are compared in one block.
 BLOCK = 1000
 
@@ -135,10 +137,22 @@ def _locate(least: int, size: int):
         import ahocorasick
         import xxhash
 
-        for b in batches:
-            docs, texts, marks = (b.column(k).to_pylist() for k in range(3))
+        def shards() -> Iterator[list[tuple]]:
+            part: list[tuple] = []
+            phrases = 0
+            for b in batches:
+                for row in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    part.append(row)
+                    phrases += len(row[2])
+                    if phrases >= SHARD:
+                        yield part
+                        part, phrases = [], 0
+            if part:
+                yield part
+
+        for part in shards():
             shard = ahocorasick.Automaton()
-            for text, places in zip(texts, marks):
+            for _, text, places in part:
                 for p in places:
                     phrase = text[p : p + size]
                     if phrase not in shard:
@@ -147,7 +161,7 @@ def _locate(least: int, size: int):
                 continue
             shard.make_automaton()
             out: list[tuple] = []
-            for doc, text, places in zip(docs, texts, marks):
+            for doc, text, places in part:
                 hits: dict[bytes, list[int]] = defaultdict(list)
                 for end, phrase in shard.iter(text):
                     hits[phrase].append(end - size + 1)
