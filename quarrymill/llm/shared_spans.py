@@ -170,12 +170,16 @@ def _locate(least: int, size: int):
                     # In a run of overlapping repeats (rules, padding) the sampled ones stand for all.
                     if len(found) > 1 and min(b - a for a, b in zip(found, found[1:])) < size:
                         found = [p for p in found if p in own] or found[:1]
-                    out += [(phrase, doc, p, text[max(0, p - around) : p][::-1], text[p + size : p + size + around]) for p in found]
+                    # Occurrences with the same surroundings agree with others alike: one row for all of them.
+                    alike: dict[tuple[str, str], list[int]] = defaultdict(list)
+                    for p in found:
+                        alike[text[max(0, p - around) : p][::-1], text[p + size : p + size + around]].append(p)
+                    out += [(phrase, doc, places, *sides) for sides, places in alike.items()]
             for lo in range(0, len(out), 20_000):
                 cols = list(zip(*out[lo : lo + 20_000]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
-                    names=["phrase", "doc_id", "pos", "back", "ahead"],
+                    [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
+                    names=["phrase", "doc_id", "places", "back", "ahead"],
                 )
 
     return run
@@ -212,7 +216,7 @@ def _agree(least: int, size: int):
                     ahead.append(n)
             if keep:
                 at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(4)], pa.array(back, pa.int32()), pa.array(ahead, pa.int32())], names=["a", "a_pos", "b", "b_pos", "back", "ahead"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(4)], pa.array(back, pa.int32()), pa.array(ahead, pa.int32())], names=["a", "a_places", "b", "b_places", "back", "ahead"])
 
     return run
 
@@ -235,19 +239,20 @@ class SharedSpans:
         other = self.copies.where("doc_id <> rep").select("doc_id")
         own = marks.select("doc_id", "h", "pos").join(recurring, "h", "left_semi").join(other, "doc_id", "left_anti")
         per_text = own.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))  # at most one for every few characters
-        found = per_text.join(texts, "doc_id").select("doc_id", "text", "places").mapInArrow(_locate(least, size), "phrase binary, doc_id bigint, pos int, back string, ahead string")
+        found = per_text.join(texts, "doc_id").select("doc_id", "text", "places").mapInArrow(_locate(least, size), "phrase binary, doc_id bigint, places array<int>, back string, ahead string")
         self.occurrences = cut(found)
 
     def agreements(self) -> DataFrame:
-        """a, a_pos, b, b_pos, back, ahead: occurrences of a phrase in two texts (a < b) that agree over `least` characters; back and ahead of the phrase."""
+        """a, a_places, b, b_places, back, ahead: occurrences of a phrase in two texts (a < b) that agree over `least` characters; back and ahead of the phrase."""
         o = self.occurrences
         sizes = o.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         o = o.join(sizes, "phrase")
-        left = o.select("phrase", F.pmod(F.xxhash64("doc_id", "pos"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "pos", "back", "ahead")])
-        right = o.select("phrase", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "pos", "back", "ahead")])
+        names = ("doc_id", "places", "back", "ahead")
+        left = o.select("phrase", F.pmod(F.xxhash64("doc_id", "places"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"a_{c}") for c in names])
+        right = o.select("phrase", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in names])
         both = left.join(right, ["phrase", "block"]).where("a_doc_id < b_doc_id")
-        both = both.select("a_doc_id", "a_pos", "b_doc_id", "b_pos", "a_back", "a_ahead", "b_back", "b_ahead")
-        return both.mapInArrow(_agree(self.least, self.size), "a bigint, a_pos int, b bigint, b_pos int, back int, ahead int")
+        both = both.select("a_doc_id", "a_places", "b_doc_id", "b_places", "a_back", "a_ahead", "b_back", "b_ahead")
+        return both.mapInArrow(_agree(self.least, self.size), "a bigint, a_places array<int>, b bigint, b_places array<int>, back int, ahead int")
 
     def pairs(self) -> DataFrame:
         """doc_id_a, doc_id_b (a < b) of each two texts that share a span of `least` characters, copies included."""
@@ -262,9 +267,10 @@ class SharedSpans:
         from pyspark.sql import Window
 
         g = self.agreements()
-        ends = lambda doc, pos: g.select(F.col(doc).alias("doc_id"), (F.col(pos) - F.col("back") + 1).alias("lo"), (F.col(pos) + self.size + F.col("ahead")).alias("hi"))
+        placed = lambda doc, places: g.select(F.col(doc).alias("doc_id"), "back", "ahead", F.explode(places).alias("pos"))
+        ends = lambda *side: placed(*side).select("doc_id", (F.col("pos") - F.col("back") + 1).alias("lo"), (F.col("pos") + self.size + F.col("ahead")).alias("hi"))
         # Reduced to one stretch for each start before texts are put in order.
-        parts = ends("a", "a_pos").unionByName(ends("b", "b_pos")).groupBy("doc_id", "lo").agg(F.max("hi").alias("hi"))
+        parts = ends("a", "a_places").unionByName(ends("b", "b_places")).groupBy("doc_id", "lo").agg(F.max("hi").alias("hi"))
         w = Window.partitionBy("doc_id").orderBy("lo")
         reached = parts.withColumn("_before", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         islands = reached.withColumn("_island", F.sum(F.when(F.col("lo") <= F.col("_before") + 1, 0).otherwise(1)).over(w))

@@ -60,6 +60,13 @@ def test_hot_phrase_in_blocks(spark, monkeypatch):
     check(spark, texts, 25, 10)
 
 
+def test_long_runs(spark):
+    """Rules and padding of thousands of characters meet without comparing every place with every other."""
+    texts = {1: "a" + "-" * 3000, 2: "-" * 2500 + "b", 3: "c" + "-=" * 1500 + "d", 4: "=-" * 900, 5: "x" * 150 + "-" * 199, 6: "-" * 200}
+    s, _ = check(spark, texts, 200, 64)
+    assert s.occurrences.count() < 3000
+
+
 def test_empty(spark):
     s = S.SharedSpans(spark.createDataFrame([], DOC))
     assert s.pairs().count() == 0 and s.spans().count() == 0
