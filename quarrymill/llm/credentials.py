@@ -310,7 +310,9 @@ def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[in
     elif kind == "pem":
         m = _PEM.match(text, start)
         if m:
-            body = _PEM_BODY.match(text, m.end()) or _PEM_OPEN.match(text, m.end())
+            close, again = text.find("-----END ", m.end()), text.find("-----BEGIN ", m.end())
+            whole = close >= 0 and (again < 0 or close < again)
+            body = whole and _PEM_BODY.match(text, m.end()) or _PEM_OPEN.match(text, m.end())
             stop = body.end() if body else m.end()
             return [[(start, start + len(text[start:stop].rstrip()))]]
     elif kind == "url":
