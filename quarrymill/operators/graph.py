@@ -118,13 +118,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(sizes, "component", "left_semi").select("node", "component")
 
 
-def cheapest(edges: DataFrame, start: str, most: int) -> DataFrame:
-    """node, cost of the cheapest way from start to each node over at most `most` edges (src, dst, cost): relaxation by rounds."""
+def cheapest(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """node, cost of the cheapest way from start to each node over edges (src, dst, cost >= 0): relaxation by rounds, until none changes a cost; `most` bounds the edges.
+
+    Only nodes that the last round made cheaper are followed further.
+    """
     steps = edges.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-    best = edges.sparkSession.createDataFrame([(start, 0.0)], "node string, best double")
-    for _ in range(most):
-        further = best.join(steps, best["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("best") + F.col("cost")).alias("best"))
-        best = cut(best.unionByName(further).groupBy("node").agg(F.min("best").alias("best")))
+    if most is None:
+        steps = cut(steps)
+        if steps.where("cost < 0").limit(1).count():
+            raise ValueError("cheapest: a cost is below 0")
+    best = edges.sparkSession.createDataFrame([(start, 0.0, True)], "node string, best double, _new boolean")
+    done = 0
+    while most is None or done < most:
+        front = best.where("_new")
+        further = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("best") + F.col("cost")).alias("best"), F.lit(None).cast("double").alias("_own"))
+        least = best.select("node", "best", F.col("best").alias("_own")).unionByName(further).groupBy("node").agg(F.min("best").alias("best"), F.min("_own").alias("_own"))
+        last, best = best, cut(least.select("node", "best", (F.col("_own").isNull() | (F.col("best") < F.col("_own"))).alias("_new")))
+        discard(last)
+        done += 1
+        if most is None and not best.where("_new").limit(1).count():
+            discard(steps)
+            break
     return best.select("node", F.col("best").alias("cost"))
 
 

@@ -87,6 +87,15 @@ def shortest_path(t: Tables) -> DataFrame:
     return G.cheapest(e.withColumn("cost", 1 - F.col("strength")), start, 4).withColumn("cost", F.round("cost", 6))
 
 
+@query(f"""WITH RECURSIVE {_E}, d(node, c) USING KEY (node) AS (SELECT min(src) AS node, CAST(0 AS DOUBLE) AS c FROM e
+UNION SELECT x.node, x.c FROM (SELECT e.dst AS node, min(d.c + 1 - e.strength) AS c FROM d JOIN e ON e.src = d.node GROUP BY 1) x LEFT JOIN recurring.d o ON o.node = x.node WHERE o.node IS NULL OR x.c < o.c) SELECT node, round(c, 6) AS cost FROM d""")
+def shortest_path_unbounded(t: Tables) -> DataFrame:
+    """Cheapest ways of any length from the smallest node to all it leads to, an edge costing 1 - strength."""
+    e = edges(t)
+    start = e.agg(F.min("src")).first()[0]
+    return G.cheapest(e.withColumn("cost", 1 - F.col("strength")), start).withColumn("cost", F.round("cost", 6))
+
+
 @query(f"""WITH RECURSIVE {_E}, {_H}, k AS (SELECT pattern_id, category FROM h), r AS (SELECT pattern_id AS source, pattern_id AS at_, [pattern_id] AS path, false AS done FROM k WHERE category = 'api'
 UNION ALL SELECT source, e.dst, list_append(path, e.dst), coalesce(k.category = 'data_access', false) FROM r JOIN e ON e.src = r.at_ LEFT JOIN k ON k.pattern_id = e.dst WHERE NOT done AND len(path) <= 3 AND NOT list_contains(path, e.dst) AND coalesce(k.category, '') <> 'auth')
 SELECT source, at_ AS sink, array_to_string(path, '>') AS path FROM r WHERE done""")

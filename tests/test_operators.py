@@ -126,3 +126,12 @@ def test_small_expressions(spark):
     r = df.select(vectors.cosine(F.col("x"), F.col("y")).alias("c"), vectors.cosine(F.col("x"), F.array(F.lit(1.0))).alias("z"), scoring.ramp_decay(F.lit(50)).alias("d"), similarity.jaccard(F.array(), F.array(), 1.0).alias("j")).first()
     assert (r.c, r.z, r.j) == (0.0, 0.0, 1.0) and r.d == pytest.approx(1 - 0.9 * 43 / 83)
     assert rows(upkeep.line_changes(df, "id", "s", "u")) == [(1, 2, 1)]
+
+
+def test_cheapest_of_any_length(spark):
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 0.125) for k in range(7)] + [("n0", "n7", 1.0), ("n7", "n0", 0.5), ("n7", "x", 0.25), ("y", "n0", 0.1)], "src string, dst string, cost double")
+    want = [(f"n{k}", 0.125 * k) for k in range(8)] + [("x", 1.125)]
+    assert rows(graph.cheapest(e, "n0")) == want
+    assert dict(rows(graph.cheapest(e, "n0", 2))) == {"n0": 0.0, "n1": 0.125, "n2": 0.25, "n7": 1.0, "x": 1.25}
+    with pytest.raises(ValueError):
+        graph.cheapest(e.withColumn("cost", F.col("cost") - 1), "n0")
