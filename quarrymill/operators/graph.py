@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.grouping import connected_groups
 from quarrymill.plans.session import cut, discard
 
 
@@ -47,6 +52,64 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame
     return found if found is not None else front.withColumn("depth", F.lit(0))
 
 
+def _led_to(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """node of starts and of all they lead to: one table a round, however long the ways are."""
+    seen = cut(starts.select("node", F.lit(True).alias("_new")))
+    while seen.where("_new").limit(1).count():
+        front = seen.where("_new").select(F.col("node").alias("src"))
+        met = steps.join(front, "src").select(F.col("dst").alias("node"), F.lit(True).alias("_new"))
+        more = cut(seen.select("node", F.lit(False).alias("_new")).unionByName(met).groupBy("node").agg(F.min("_new").alias("_new")))
+        discard(seen)
+        seen = more
+    return seen.select("node")
+
+
+class Reach(NamedTuple):
+    """What of starts leads to what: every node of `into` to every node of `out`, itself left out, and besides the pairs `rest`(start, node)."""
+
+    into: DataFrame
+    out: DataFrame
+    rest: DataFrame
+
+
+def reach(edges: DataFrame, starts: DataFrame) -> Reach:
+    """What starts(node) lead to by ways of any length, without writing down the pairs that meet in the largest knot.
+
+    The node with the most ways through it stands for its strong component: all that leads to it leads to all it leads to.
+    Other pairs have ways outside of that component; these are doubled in length until no pair is new. A graph without a large
+    component, but with long ways, has as many `rest` pairs as it has pairs.
+    """
+    steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    pivot = degrees(steps).orderBy(F.desc(F.col("out_degree") * F.col("in_degree")), "node").limit(1).select("node")
+    out, before = _led_to(steps, pivot), _led_to(back, pivot)
+    begin = cut(starts.select("node").distinct())
+    into = cut(begin.join(before, "node", "left_semi"))
+    knot = out.join(before, "node", "left_semi")
+    ways = steps.join(knot.withColumnRenamed("node", "src"), "src", "left_anti").join(knot.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    known = ways.join(before.select(F.col("node").alias("src"), F.lit(True).alias("_a")), "src", "left").join(out.select(F.col("node").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+    rest = cut(known.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.coalesce("_a", F.lit(False)).alias("_a"), F.coalesce("_d", F.lit(False)).alias("_d")).where("NOT (_a AND _d)"))
+    many = rest.count()
+    while many:
+        left, right = rest.select("start", F.col("node").alias("_via"), "_a"), rest.select(F.col("start").alias("_via"), "node", "_d")
+        longer = left.join(right, "_via").where("start <> node AND NOT (_a AND _d)").select("start", "node", "_a", "_d")
+        more = cut(rest.unionByName(longer).distinct())
+        discard(rest)
+        rest, last, many = more, many, more.count()
+        if many == last:
+            break
+    rest = rest.join(begin.withColumnRenamed("node", "start"), "start", "left_semi")
+    return Reach(into, out, rest.select("start", "node"))
+
+
+def reach_counts(edges: DataFrame, starts: DataFrame, name: str = "n") -> DataFrame:
+    """node, n: how many of starts(node) lead to each node by ways of any length, itself left out; nodes that none leads to are left out."""
+    into, out, rest = reach(edges, starts)
+    through = out.join(into.withColumn("_self", F.lit(1)), "node", "left").select("node", (F.lit(into.count()) - F.coalesce("_self", F.lit(0))).cast("bigint").alias("n"))
+    both = through.unionByName(rest.select("node", F.lit(1).cast("bigint").alias("n")))
+    return both.groupBy("node").agg(F.sum("n").alias(name)).where(F.col(name) > 0)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, out_degree, in_degree over different edges."""
     e = edges.select("src", "dst").distinct()
@@ -187,6 +250,59 @@ def cover(pairs: DataFrame, taker: str, item: str) -> list[tuple[str, int]]:
         left = rest
 
 
+def cover_apart(pairs: DataFrame, taker: str, item: str) -> list[tuple[str, int]]:
+    """As cover(), but each connected part of the pairs is covered in one task; for pairs that fall into many small parts.
+
+    In a part the gains never grow, and takers of equal gain come in order, so the parts' steps sorted are those of the whole.
+    """
+    p = cut(pairs.select(F.col(taker).alias("taker"), F.col(item).alias("item")).distinct())
+    parts = connected_groups(p.select(F.concat(F.lit("t"), "taker").alias("a"), F.concat(F.lit("i"), "item").alias("b")))
+    placed = p.join(parts.select(F.col("id").alias("_id"), "group_id"), F.concat(F.lit("t"), "taker") == F.col("_id")).select("group_id", "taker", "item")
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = {k: set(v) for k, v in pdf.groupby("taker")["item"]}
+        by = {k: list(v) for k, v in pdf.groupby("item")["taker"]}
+        heap = [(-len(v), k) for k, v in left.items()]
+        heapq.heapify(heap)
+        chosen = []
+        while heap:
+            n, k = heapq.heappop(heap)
+            if len(left[k]) != -n:
+                if left[k]:
+                    heapq.heappush(heap, (-len(left[k]), k))
+                continue
+            chosen.append((k, -n))
+            for x in list(left[k]):
+                for other in by[x]:
+                    left[other].discard(x)
+        return pd.DataFrame(chosen, columns=["taker", "n"])
+
+    found = placed.groupBy("group_id").applyInPandas(steps, "taker string, n bigint").orderBy(F.desc("n"), "taker").collect()
+    discard(p)
+    return [(r.taker, r.n) for r in found]
+
+
+def reach_cover(edges: DataFrame, starts: DataFrame) -> list[tuple[str, int]]:
+    """cover() of all that starts(node) lead to by ways of any length, themselves left out."""
+    into, out, rest = reach(edges, starts)
+    rest = cut(rest)
+    chosen: list[tuple[str, int]] = []
+    while many := out.count():  # what the large component leads to and is not covered
+        own = into.join(out.withColumn("_self", F.lit(1)), "node", "left").select(F.col("node").alias("start"), (F.lit(many) - F.coalesce("_self", F.lit(0))).cast("bigint").alias("n"), F.lit(True).alias("_in"))
+        gains = own.unionByName(rest.select("start", F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("_in"))).groupBy("start").agg(F.sum("n").alias("n"), F.max("_in").alias("_in"))
+        best = gains.where("n > 0").orderBy(F.desc("n"), "start").limit(1).collect()
+        if not best:
+            return chosen
+        name, n, central = best[0]
+        chosen.append((name, n))
+        taken = rest.where(F.col("start") == name).select("node")
+        if central:
+            taken = taken.unionByName(out.where(F.col("node") != name))
+        taken = cut(taken)
+        rest, out = cut(rest.join(taken, "node", "left_anti").select("start", "node")), cut(out.join(taken, "node", "left_anti"))
+    return chosen + cover_apart(rest, "start", "node")
+
+
 def pruned(edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The edges of strength `least` at least, and the nodes that lost all of theirs."""
     kept = edges.where(F.col("strength") >= least)
@@ -194,7 +310,14 @@ def pruned(edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return kept, ends(edges).join(ends(kept), "node", "left_anti")
 
 
-def closes_cycle(edges: DataFrame, new: DataFrame, most: int) -> DataFrame:
-    """src, dst of the new edges whose dst already leads to their src within `most` steps (or that are loops)."""
-    back = reachable_pairs(edges, new.select(F.col("dst").alias("node")), most).select(F.col("start").alias("dst"), F.col("node").alias("src"))
-    return new.join(back, ["src", "dst"], "left_semi").select("src", "dst").unionByName(new.where("src = dst").select("src", "dst")).distinct()
+def closes_cycle(edges: DataFrame, new: DataFrame, most: int | None = None) -> DataFrame:
+    """src, dst of the new edges whose dst already leads to their src (within `most` steps, if given), or that are loops."""
+    asked = new.select(F.col("dst").alias("node"))
+    loops = new.where("src = dst").select("src", "dst")
+    if most is None:
+        into, out, rest = reach(edges, asked)
+        through = new.join(into.withColumnRenamed("node", "dst"), "dst", "left_semi").join(out.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+        loops, back = loops.unionByName(through), rest.select(F.col("start").alias("dst"), F.col("node").alias("src"))
+    else:
+        back = reachable_pairs(edges, asked, most).select(F.col("start").alias("dst"), F.col("node").alias("src"))
+    return new.join(back, ["src", "dst"], "left_semi").select("src", "dst").unionByName(loops).distinct()

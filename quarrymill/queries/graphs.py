@@ -44,6 +44,13 @@ def blast_radius(t: Tables) -> DataFrame:
     return G.reachable_pairs(back, back.select(F.col("src").alias("node")), 3).groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("callers"))
 
 
+@query(f"WITH RECURSIVE {_E}, r AS (SELECT dst AS node, src AS caller FROM e UNION SELECT r.node, e.src FROM r JOIN e ON e.dst = r.caller) SELECT node, count(*) AS callers FROM r WHERE node <> caller GROUP BY 1")
+def blast_radius_transitive(t: Tables) -> DataFrame:
+    """How many nodes lead to each by ways of any length."""
+    e = edges(t)
+    return G.reach_counts(e, e.select(F.col("src").alias("node")), "callers")
+
+
 @query(f"WITH {_E}, {_H} SELECT pattern_id AS node FROM h WHERE category <> 'testing' AND pattern_id NOT IN (SELECT dst FROM e)")
 def dead_code(t: Tables) -> DataFrame:
     called = edges(t).select(F.col("dst").alias("node"))
@@ -114,10 +121,20 @@ def test_coverage_map(t: Tables) -> DataFrame:
     return pairs.join(code, "node").groupBy("node").agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col("depth") == 1).alias("direct"))
 
 
+@query(f"""WITH RECURSIVE {_E}, {_H}, r AS (SELECT src AS s, dst AS n FROM e JOIN h ON pattern_id = src AND category = 'testing' UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.n)
+SELECT r.n AS node, count(*) AS tests, count(*) FILTER (WHERE (r.s, r.n) IN (SELECT (src, dst) FROM e)) AS direct FROM r JOIN h ON h.pattern_id = r.n AND h.category <> 'testing' GROUP BY 1""")
+def test_coverage_transitive(t: Tables) -> DataFrame:
+    """How many tests lead to each pattern by ways of any length, and how many directly."""
+    e, tests = edges(t), of_category(t, "testing")
+    code = held(t).where("category <> 'testing'").select(F.col("pattern_id").alias("node"))
+    direct = e.join(tests.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    return G.reach_counts(e, tests, "tests").join(code, "node").join(direct, "node", "left").select("node", "tests", F.coalesce("direct", F.lit(0)).cast("bigint").alias("direct"))
+
+
 @query()
 def min_test_set(t: Tables) -> DataFrame:
-    pairs = G.reachable_pairs(edges(t), of_category(t, "testing"), 1)
-    chosen = G.cover(pairs, "start", "node")
+    """A greedy cover of all that tests lead to by ways of any length."""
+    chosen = G.reach_cover(edges(t), of_category(t, "testing"))
     return t.spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(chosen)], "place int, node string, covered bigint")
 
 
@@ -155,6 +172,13 @@ def cycle_check(t: Tables) -> DataFrame:
     return G.closes_cycle(e.where("strength >= 0.6"), e.where("strength < 0.6"), 2)
 
 
+@query(f"WITH RECURSIVE {_E}, k AS (SELECT * FROM e WHERE strength >= 0.6), r AS (SELECT DISTINCT dst AS s, dst AS n FROM e WHERE strength < 0.6 UNION SELECT r.s, k.dst FROM r JOIN k ON k.src = r.n) SELECT src, dst FROM e WHERE strength < 0.6 AND (dst, src) IN (SELECT (s, n) FROM r)")
+def cycle_check_unbounded(t: Tables) -> DataFrame:
+    """Weak edges that would close a cycle of any length with strong ones."""
+    e = edges(t)
+    return G.closes_cycle(e.where("strength >= 0.6"), e.where("strength < 0.6"))
+
+
 @query("""WITH e AS (SELECT event_id, min(recorded_at) AS ts, min(memory_id) AS memory_id, min(replace(lower(event_type), '_', '')) AS kind, min(delta) AS delta FROM memory_events WHERE replace(lower(event_type), '_', '') IN ('linkadded', 'linkremoved') GROUP BY 1),
 l AS (SELECT memory_id, delta->>'$.target' AS target, kind, ts, event_id FROM e WHERE ts <= TIMESTAMP '2025-06-01' AND json_valid(delta)) SELECT memory_id, target FROM (SELECT memory_id, target, arg_max(kind, (ts, event_id)) AS k FROM l WHERE target IS NOT NULL GROUP BY 1, 2) WHERE k = 'linkadded'""")
 def graph_at(t: Tables) -> DataFrame:

@@ -135,3 +135,34 @@ def test_cheapest_of_any_length(spark):
     assert dict(rows(graph.cheapest(e, "n0", 2))) == {"n0": 0.0, "n1": 0.125, "n2": 0.25, "n7": 1.0, "x": 1.25}
     with pytest.raises(ValueError):
         graph.cheapest(e.withColumn("cost", F.col("cost") - 1), "n0")
+
+
+def test_reach_of_any_length_against_closure(spark):
+    import random
+
+    random.seed(11)
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(4)]
+    links = sorted({*chain, ("u", "u"), *((f"n{random.randint(0, 23)}", f"n{random.randint(0, 23)}") for _ in range(26))})
+    nodes = sorted({x for e in links for x in e})
+    starts = [n for k, n in enumerate(nodes) if k % 3 == 0]
+    seen = {n: set() for n in nodes}
+    for n in nodes:
+        stack = [n]
+        while stack:
+            new = {b for a, b in links if a == stack[-1]} - seen[n]
+            stack.pop()
+            seen[n] |= new
+            stack += new
+    e = spark.createDataFrame(links, "src string, dst string")
+    s = spark.createDataFrame([(x,) for x in starts], "node string")
+    counts = {n: sum(n in seen[x] for x in starts if x != n) for n in nodes}
+    assert dict(rows(graph.reach_counts(e, s))) == {n: c for n, c in counts.items() if c}
+    new = [("c4", "c0"), ("c0", "c4"), *((f"n{k}", f"n{23 - k}") for k in range(12))]
+    assert rows(graph.closes_cycle(e, spark.createDataFrame(new, "src string, dst string"))) == sorted((a, b) for a, b in new if a in seen.get(b, ()))
+    left, want = {x: seen[x] - {x} for x in starts}, []
+    while any(left.values()):
+        best = min(left, key=lambda x: (-len(left[x]), x))
+        want.append((best, len(left[best])))
+        gone = set(left[best])
+        left = {x: v - gone for x, v in left.items()}
+    assert graph.reach_cover(e, s) == want
