@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 
 from quarrymill.functions import numeric
 
-#: Largest group for which critical values of the single-outlier tests are tabulated.
+#: Largest group for which the SQL of the single-outlier test has critical values; the operator has no such limit.
 MOST_TABULATED = 200
 
 
@@ -48,44 +51,70 @@ def mad_outliers(df: DataFrame, group: str, value: str, threshold: float = 3.5)
     return dev.join(mad, group).withColumns({"modified_z": z, "outlier": hit}).drop("_med", "_d", "_mad")
 
 
-def critical_values(most: int = MOST_TABULATED, alpha: float = 0.05) -> Column:
-    """A map from group size to Grubbs's critical value."""
-    return F.create_map(*[x for n, c in enumerate(numeric.grubbs_criticals(most, alpha), 3) for x in (F.lit(n).cast("bigint"), F.lit(c))])
+@F.pandas_udf(T.DoubleType())
+def _critical(n: pd.Series, alpha: pd.Series) -> pd.Series:
+    """Grubbs's critical value of n values, worked out once for each size of a batch."""
+    sizes = pd.DataFrame({"n": n.astype(float), "alpha": alpha}).drop_duplicates()
+    t = numeric.student_quantile(1 - sizes["alpha"].to_numpy() / (2 * sizes["n"].to_numpy()), sizes["n"].to_numpy() - 2)
+    m = sizes["n"].to_numpy()
+    found = dict(zip(zip(sizes["n"], sizes["alpha"]), (m - 1) / m**0.5 * (t * t / (m - 2 + t * t)) ** 0.5))
+    return pd.Series([found[k] for k in zip(n.astype(float), alpha)], dtype=float)
 
 
-def grubbs_outlier(df: DataFrame, group: str, key: str, value: str, alpha: float = 0.05, most: int = MOST_TABULATED) -> DataFrame:
-    """group, key, g, critical, outlier of the most extreme value of each group of 3 to `most` values (tie: smallest key)."""
-    stats = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("_n")).where((F.col("_n") >= 3) & (F.col("_n") <= most) & (F.col("_s") > 0))
+def grubbs_outlier(df: DataFrame, group: str, key: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """group, key, g, critical, outlier of the most extreme value of each group of 3 values or more (tie: smallest key)."""
+    stats = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("_n")).where((F.col("_n") >= 3) & (F.col("_s") > 0))
     dev = df.join(stats, group).withColumn("_g", F.abs(F.col(value) - F.col("_m")) / F.col("_s"))
     top = dev.groupBy(group).agg(F.min(F.struct((-F.col("_g")).alias("g"), F.col(key).alias("k"))).alias("_t"), F.first("_n").alias("_n"))
-    critical = critical_values(most, alpha)[F.col("_n")]
-    return top.select(group, F.col("_t.k").alias(key), (-F.col("_t.g")).alias("g"), critical.alias("critical"), (-F.col("_t.g") > critical).alias("outlier"))
+    sized = top.select(group, F.col("_t.k").alias(key), (-F.col("_t.g")).alias("g"), _critical("_n", F.lit(alpha)).alias("critical"))
+    return sized.withColumn("outlier", F.col("g") > F.col("critical"))
+
+
+@lru_cache(maxsize=100_000)
+def _esd_criticals(n: int, most: int, alpha: float) -> tuple[float, ...]:
+    """Critical values of the first `most` steps over n values, in one call for all of them."""
+    m = n - np.arange(most, dtype=float)
+    m = m[m >= 3]
+    t = numeric.student_quantile(1 - alpha / (2 * m), m - 2)
+    return tuple(((m - 1) * t / np.sqrt((m - 2 + t * t) * m)).tolist())
 
 
-def esd_outliers(df: DataFrame, group: str, key: str, value: str, least: int = 25, below: int = 30, alpha: float = 0.05) -> DataFrame:
-    """group, key of the outliers by the generalised ESD test, in groups of `least` to `below`-1 values (the sizes it is meant for).
+def esd_outliers(df: DataFrame, group: str, key: str, value: str, least: int = 25, alpha: float = 0.05) -> DataFrame:
+    """group, key of the outliers by the generalised ESD test, in groups of `least` values or more. Keys are unique in a group.
 
-    Groups are bounded by `below`, so each may be handled as a whole.
+    At most ten values are taken out, each the least or the largest left: a task sees the ten extremes of either side, and count,
+    mean and squared deviations of the others.
     """
     import math
 
-    sized = df.groupBy(group).agg(F.count(value).alias("_n")).where((F.col("_n") >= least) & (F.col("_n") < below))
-    rows = df.join(sized, group).select(group, key, F.col(value).cast("double").alias(value))
+    clean = df.where(F.col(value).isNotNull()).select(group, key, F.col(value).cast("double").alias("_v"))
+    sized = clean.groupBy(group).agg(F.count("_v").alias("_all")).where(F.col("_all") >= least)
+    kept = clean.join(sized, group)
+    side = lambda order: kept.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(order, key))).where("_k <= 10").drop("_k")
+    ends = side(F.asc("_v")).unionByName(side(F.desc("_v"))).distinct()
+    others = kept.join(ends.select(group, key), [group, key], "left_anti").groupBy(group).agg(F.count("_v").alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = ends.join(others, group, "left")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        most = min(max(1, min(10, math.ceil(math.sqrt(n)))), n // 2)
+        n, first = int(pdf["_all"].iloc[0]), pdf.iloc[0]
+        core = 0 if pd.isna(first["_n"]) else int(first["_n"])
         left, order, last = pdf.sort_values(key), [], 0
+        most = min(max(1, min(10, math.ceil(math.sqrt(n)))), n // 2)
+        criticals = _esd_criticals(n, most, alpha)
         for i in range(1, most + 1):
-            mean, dev = left[value].mean(), left[value].std(ddof=1)
-            if not dev > 0:
+            x = left["_v"].to_numpy()
+            m = len(x) + core
+            lo, hi = (min(x.min(), first["_lo"]), max(x.max(), first["_hi"])) if core else (x.min(), x.max())
+            if m < 3 or not hi > lo:
                 break
-            far = (left[value] - mean).abs()
+            base = first["_m"] if core and first["_hi"] > first["_lo"] else first["_lo"] if core else x[0]
+            shift = (x - base).sum() / m
+            mean = base + shift
+            dev = math.sqrt((np.square(x - mean).sum() + (core * (first["_s"] + shift * shift) if core else 0)) / (m - 1))
+            far = (left["_v"] - mean).abs()
             at = far.idxmax()
             order.append(at)
-            m = n - i + 1
-            t = float(numeric.student_quantile(1 - alpha / (2 * m), m - 2))
-            if far[at] / dev > (m - 1) * t / math.sqrt((m - 2 + t * t) * m):
+            if far[at] / dev > criticals[i - 1]:
                 last = i
             left = left.drop(index=at)
         return pdf.loc[order[:last], [group, key]]

@@ -166,3 +166,12 @@ def test_reach_of_any_length_against_closure(spark):
         gone = set(left[best])
         left = {x: v - gone for x, v in left.items()}
     assert graph.reach_cover(e, s) == want
+
+
+def test_outliers_of_large_groups(spark):
+    values = [(1, k, 10 + (k * 7 % 11) * 0.1) for k in range(1200)] + [(1, 2000, 1e9), (1, 2001, 30.0), (1, 2002, -8.0)] + [(2, k, float(k % 2)) for k in range(40)] + [(3, k, 0.1) for k in range(60)] + [(3, 99, 7.0)]
+    df = spark.createDataFrame(values, "g int, k int, v double")
+    assert rows(statistics.esd_outliers(df, "g", "k", "v")) == [(1, 2000), (1, 2001), (1, 2002), (3, 99)]
+    got = {r.g_: r for r in statistics.grubbs_outlier(df.withColumnRenamed("g", "g_"), "g_", "k", "v").collect()}
+    assert {k: (r.k, r.outlier) for k, r in got.items()} == {1: (2000, True), 2: (0, False), 3: (99, True)}
+    assert got[2].critical == pytest.approx(numeric.grubbs_criticals(40)[-1], abs=1e-12)
