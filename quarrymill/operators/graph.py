@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.grouping import connected_groups
-from quarrymill.plans.session import cut, discard
+from quarrymill.plans.session import cut, cut_counting, discard
 
 
 def reached(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
@@ -236,6 +235,25 @@ def strongest(edges: DataFrame, starts: DataFrame, least: float, most: int) -> D
     return out.select("start", "node", "depth", "strength")
 
 
+def weak_parts(pairs: DataFrame) -> DataFrame:
+    """id, group_id (its smallest id) of the connected parts of pairs(a, b), by alternating stars: larger neighbours go to the least
+    neighbour, then each node and its smaller neighbours to the least of them, until no link changes."""
+    links = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while True:
+        ends = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = ends.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        below = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        small = large.join(below, large["hi"] == below["u"]).select(F.explode(F.array(F.col("lo"), F.col("u"))).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        marked = small.withColumn("_new", F.lit(1)).unionByName(links.withColumn("_new", F.lit(-1))).groupBy("hi", "lo").agg(F.sum("_new").alias("_new"))
+        both, n = cut_counting(marked, changed=F.col("_new") != 0)
+        discard(links)
+        links = both.where("_new >= 0").select("hi", "lo")
+        links._quarrymill_path = both._quarrymill_path
+        if not n["changed"]:
+            return links.select(F.col("hi").alias("id"), F.col("lo").alias("group_id")).unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("group_id")).distinct())
+
+
 def cover(pairs: DataFrame, taker: str, item: str) -> list[tuple[str, int]]:
     """A greedy cover: (taker, newly covered) in order, until every item is covered; ties go to the smaller taker. One pass over what is left a step."""
     left = cut(pairs.select(taker, item).distinct())
@@ -256,7 +274,7 @@ def cover_apart(pairs: DataFrame, taker: str, item: str) -> list[tuple[str, int]
     In a part the gains never grow, and takers of equal gain come in order, so the parts' steps sorted are those of the whole.
     """
     p = cut(pairs.select(F.col(taker).alias("taker"), F.col(item).alias("item")).distinct())
-    parts = connected_groups(p.select(F.concat(F.lit("t"), "taker").alias("a"), F.concat(F.lit("i"), "item").alias("b")))
+    parts = weak_parts(p.select(F.concat(F.lit("t"), "taker").alias("a"), F.concat(F.lit("i"), "item").alias("b")))
     placed = p.join(parts.select(F.col("id").alias("_id"), "group_id"), F.concat(F.lit("t"), "taker") == F.col("_id")).select("group_id", "taker", "item")
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:

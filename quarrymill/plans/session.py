@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -42,19 +44,30 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only where master is one local process (tests) may it be unset; a temporary folder then serves."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is unset: master {master or 'unknown'} needs a folder that all executors share")
+    where = getattr(spark, "_quarrymill_folder", None)
     if not where:
-        where = getattr(spark, "_quarrymill_folder", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
-            spark._quarrymill_folder = where
+        where = spark._quarrymill_folder = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
+        _LEFT[where] = spark
     return where
 
 
 _LEFT: dict[str, SparkSession] = {}
 
 
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, deleted with all below it when the session's Python process ends, if not before."""
+    path = f"{shared_folder(spark)}/quarrymill-{kind}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it from there, without its lineage.
 
@@ -62,14 +75,26 @@ def cut(df: DataFrame) -> DataFrame:
     constraints of its plan on, which grow without bound in loops.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quarrymill-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _LEFT[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._quarrymill_path = path
     return out
 
 
+def cut_counting(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df), and how many rows meet each condition, counted while they are written: loops need no job of their own to see whether they are done."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[F.count_if(c).alias(k) for k, c in conditions.items()]))
+    return out, {k: int(seen.get[k] or 0) for k in conditions}
+
+
+def forget(path: str, spark: SparkSession) -> None:
+    """Delete a scratch path now."""
+    if _LEFT.pop(path, None) is not None:
+        _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing needs any more."""
     for t in tables:

@@ -1,11 +1,11 @@
-"""Queries of the general problems 1, 2, 3, 6 and 7, with their SQL counterparts."""
+"""Queries of the general problems 1, 2, 3 and 6, with their SQL counterparts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.operators import changefeed, grouping, hierarchy, references, trailing
+from quarrymill.operators import changefeed, hierarchy, references, trailing
 from quarrymill.functions.keys import day_text
 from quarrymill.plans.session import table
 
@@ -56,11 +56,6 @@ def p6_state(spark: SparkSession, sf: str) -> DataFrame:
     return changefeed.apply_changes(table(spark, sf, "memory_events"))
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = grouping.similar_pairs(table(spark, sf, "merge_candidates"))
-    return grouping.connected_groups(pairs).select(F.col("id").alias("pattern_id"), "group_id")
-
-
 _SERIES = """
 WITH s AS (SELECT DISTINCT id, lower(trim(metric_name)) AS metric_name, metric_value AS v,
     (CASE WHEN recorded_at >= 100000000000 THEN recorded_at // 1000 ELSE recorded_at END) // 86400 AS day FROM bridge_metrics WHERE metric_value >= 0),
@@ -103,7 +98,7 @@ s AS (SELECT b.memory_id,
   FROM k JOIN b ON k.memory_id = b.memory_id AND (k.ts, k.event_id) >= b.born GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_trailing, p2_found, p2_counts, p3_found, p3_paths, p3_descendants, p6_found, p6_state, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_trailing, p2_found, p2_counts, p3_found, p3_paths, p3_descendants, p6_found, p6_state)}
 
 SQL = {
     "p1_found": _SERIES + "SELECT metric_name, d AS day, 'silent' AS kind FROM x WHERE n7 = 0 UNION ALL SELECT metric_name, d, 'surge' FROM x WHERE day >= lo + 29 AND t7 / 7 > 2 * (t30 / 30)",
@@ -115,9 +110,4 @@ SQL = {
     "p3_descendants": _TREE + "SELECT ancestor, pattern_id AS descendant, steps FROM (SELECT pattern_id, unnest(way[2:]) AS ancestor, unnest(generate_series(1, len(way) - 1)) AS steps FROM p WHERE depth > 0)",
     "p6_found": _STATE + "SELECT memory_id, hash.h AS content_hash FROM s WHERE last <> 'archived' AND NOT superseded",
     "p6_state": _STATE + "SELECT memory_id, hash.h AS content_hash, last = 'archived' AS archived, superseded FROM s",
-    "p7_found": """
-WITH RECURSIVE g AS (SELECT DISTINCT pattern_a AS a, pattern_b AS b FROM merge_candidates WHERE pattern_a <> pattern_b AND (CASE WHEN similarity > 1 THEN similarity >= 95 ELSE similarity >= 0.95 END)),
-e AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
-r AS (SELECT a AS id, a AS reached FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a)
-SELECT id AS pattern_id, min(reached) AS group_id FROM r GROUP BY 1""",
 }

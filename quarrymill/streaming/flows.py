@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.plans.session import shared_folder
+from quarrymill.plans.session import scratch
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +53,7 @@ def delivered_in_order(stream: DataFrame, key: str, nr: str) -> DataFrame:
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and give what it wrote."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/flow-{uuid.uuid4().hex}"
+    folder = scratch(spark, "flow")
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
@@ -67,7 +66,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def merged_totals(spark: SparkSession, stream: DataFrame, key: str, value: str) -> DataFrame:
     """key, n, total kept up to date batch by batch: each batch is aggregated and merged with the table so far (two versions, written in turn)."""
-    folder = f"{shared_folder(spark).rstrip('/')}/totals-{uuid.uuid4().hex}"
+    folder = scratch(spark, "totals")
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))

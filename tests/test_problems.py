@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from quarrymill.operators import changefeed, grouping, hierarchy, references, trailing
+from quarrymill.operators import changefeed, hierarchy, references, trailing
 
 METRIC = "id bigint, metric_name string, metric_value double, recorded_at bigint, total double"
 
@@ -142,27 +142,17 @@ def test_composition_is_associative(spark):
     assert rows(changefeed.apply_changes(spark.createDataFrame(data, EVENT))) == sorted((k, *v) for k, v in state.items())
 
 
-def test_groups(spark):
-    random.seed(9)
-    ids = [f"p{i:03d}" for i in range(120)]
-    pairs = [(random.choice(ids), random.choice(ids)) for _ in range(70)] + [(f"k{i:02d}", f"k{i + 1:02d}") for i in range(40)] + [("hub", f"l{i}") for i in range(60)] + [("a", None), (None, "b"), ("self", "self")]
-    pairs += [(b, a) for a, b in pairs[:20]]
-    root = {}
+def test_shared_folder_must_be_set_on_a_cluster(monkeypatch):
+    from quarrymill.plans.session import shared_folder
 
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
 
-    for a, b in pairs:
-        if a and b and a != b:
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    got = rows(grouping.connected_groups(spark.createDataFrame(pairs, "a string, b string")))
-    assert got == sorted((x, find(x)) for x in root)
-    assert grouping.connected_groups(spark.createDataFrame([("self", "self")], "a string, b string")).count() == 0
+    class Session:
+        conf = Conf({"spark.master": "local-cluster[3,2,1024]"})
 
-
-def test_similar_pairs(spark):
-    m = spark.createDataFrame([("a", "b", 0.95, "x"), ("a", "c", 95.0, None), ("a", "d", 0.9499999, "auto_merge"), ("a", "e", None, "x"), ("a", "f", -1.0, "x"), ("a", "g", 94.99, "x"), ("a", "h", float("nan"), "x")], "pattern_a string, pattern_b string, similarity double, decision string")
-    assert rows(grouping.similar_pairs(m)) == [("a", "b"), ("a", "c")]
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "file:///shared/"
+    assert shared_folder(Session()) == "file:///shared"
