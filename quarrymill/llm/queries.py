@@ -1,11 +1,11 @@
-"""Queries of the text problems. SQL cannot express them; tests hold them against brute force."""
+"""Queries of the problems tagged llm. But for grouping SQL cannot express them; tests hold them against brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import credentials, encoding, layout, packing, shared_spans
+from quarrymill.llm import credentials, encoding, grouping, layout, packing, shared_spans
 from quarrymill.plans.session import table
 
 
@@ -26,6 +26,11 @@ def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.redacted(table(spark, sf, "pattern_locations"), "location_id", "matched_text").withColumnRenamed("row_id", "location_id")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = grouping.similar_pairs(table(spark, sf, "merge_candidates"))
+    return grouping.connected_groups(pairs).select(F.col("id").alias("pattern_id"), "group_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf, "documents"))
 
@@ -55,5 +60,11 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.shared_amounts(documents, shared_spans.SharedSpans(documents).spans())
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p8_ids, p9_packed, p9_fill, p10_found, p10_spans, p10_shared)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_spans, p10_shared)}
+SQL: dict[str, str] = {
+    "p7_found": """
+WITH RECURSIVE g AS (SELECT DISTINCT pattern_a AS a, pattern_b AS b FROM merge_candidates WHERE pattern_a <> pattern_b AND (CASE WHEN similarity > 1 THEN similarity >= 95 ELSE similarity >= 0.95 END)),
+e AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+r AS (SELECT a AS id, a AS reached FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT id AS pattern_id, min(reached) AS group_id FROM r GROUP BY 1""",
+}
