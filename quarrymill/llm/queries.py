@@ -51,6 +51,15 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.SharedSpans(table(spark, sf, "documents")).pairs()
 
 
+def p10_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different texts, each for its smallest doc_id; p10_members says which texts it stands for."""
+    return shared_spans.SharedSpans(table(spark, sf, "documents")).representative_pairs()
+
+
+def p10_members(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, sf, "documents")).members()
+
+
 def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.SharedSpans(table(spark, sf, "documents")).spans()
 
@@ -60,7 +69,7 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.shared_amounts(documents, shared_spans.SharedSpans(documents).spans())
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_spans, p10_shared)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_redacted, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_links, p10_members, p10_spans, p10_shared)}
 SQL: dict[str, str] = {
     "p7_found": """
 WITH RECURSIVE g AS (SELECT DISTINCT pattern_a AS a, pattern_b AS b FROM merge_candidates WHERE pattern_a <> pattern_b AND (CASE WHEN similarity > 1 THEN similarity >= 95 ELSE similarity >= 0.95 END)),

@@ -79,3 +79,36 @@ def test_sampling():
         h = rng.integers(0, 6, n).astype(np.uint64)
         want = {s + run - 1 - int(np.argmin(h[s : s + run][::-1])) for s in range(n - run + 1)}
         assert set(S.sampled(h, run).tolist()) == want
+
+
+def test_hot_phrase_over_the_cluster(spark, monkeypatch):
+    """Phrases with more windows than one task takes are looked up string by string."""
+    monkeypatch.setattr(S, "HOT", 3)
+    random.seed(4)
+    common = "".join(random.choice("abcdefgh") for _ in range(24))
+    texts = {i: "".join(random.choice("xyz") for _ in range(i % 7)) + common[i % 3 :] + "".join(random.choice("uv") for _ in range(i % 5)) for i in range(30)}
+    texts |= {50: "-" * 60, 51: "-" * 45 + "a", 52: "b" + "-" * 40, 53: "-" * 60}
+    check(spark, texts, 20, 8)
+
+
+def test_meetings_are_those_of_all_pairs():
+    random.seed(6)
+    for n in (5, 60):
+        draw = lambda: "".join(random.choice("ab") for _ in range(random.randint(0, 6)))
+        classes = list({(draw(), draw()) for _ in range(n)})
+        want = {(i, j) for i in range(len(classes)) for j in range(i) if S._common(classes[i][0], classes[j][0]) + S._common(classes[i][1], classes[j][1]) >= 6}
+        got = [(max(i, j), min(i, j)) for xs, ys, _, _ in S._meetings(classes, 6) for k, i in enumerate(xs) for j in (ys[:k] if xs is ys else ys)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_phrase_in_many_texts(spark):
+    """A line shorter than the least span, in 20,000 texts, links none of them; with one string more, two of them."""
+    line = "// Licensed under some terms, see the file of that name at the root of this tree, or ask its authors for it"
+    rng = random.Random(5)
+    own = lambda: f"{rng.getrandbits(600):0150x}"
+    rows = [(i, own() + line + own(), "", 0) for i in range(20_000)]
+    tail = "the same hundred characters follow the line in these two texts, and in none of the other ones, so they link."
+    rows += [(30_000 + k, f"{k}" * 150 + line + tail, "", 0) for k in (1, 2)]
+    s = S.SharedSpans(spark.createDataFrame(rows, DOC))
+    linked = s.pairs().collect()
+    assert [tuple(r) for r in linked] == [(30_001, 30_002)]
