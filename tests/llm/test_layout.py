@@ -55,3 +55,29 @@ def test_hand_written(spark):
 def test_other_sources_and_empty(spark):
     df = spark.createDataFrame([(1, MINI, "adr", "/a/b", "/a")], "doc_id bigint, text string, source string, file string, root_path string")
     assert L.not_hand_written(df).count() == 0 and L.not_hand_written(df.limit(0)).count() == 0
+
+
+def judged(text, file="/w/a/src/x.ts", language=None):
+    return dict(zip(("generated", "minified", "vendored", "data"), L.judged(text, file, "/w/a", language)[:4]))
+
+
+def test_short_files_by_evidence():
+    short = "function f(a,b){for(var c=0;c<a.length;c++)b.x(a[c])}var d=e&&g.h||3,i=!0;function g(a,b){return a+b*c}var k=l(m,n)?o:p;"
+    assert len(short) < 200 and judged(short)["minified"] and judged(short * 4)["minified"]
+    assert not any(judged("x=1;\n").values()) and not any(judged("let a=b+c;\n").values())
+
+
+def test_lexer_states():
+    python = 'def f(a):\n    """Code generated by hand.\n\n    x=1;y=2;z=3;\n    """\n    s = "# no comment"  # one\n    return s\n'
+    lexed = L.lex(python, "hash")
+    assert lexed.code == ["def f(a):", "s = 0", "return s"] and lexed.plain[1] == 's = "# no comment"' and lexed.head == []
+    assert L.lex("<!-- Code generated by t. DO NOT EDIT.\n second -->\n<a/>\n", "tags").head == ["<!-- Code generated by t. DO NOT EDIT.", "second -->"]
+    assert L.lex("--[[ first\nsecond ]]\nlocal a = '--'\n", "dash").code == ["local a = 0"]
+    assert L.lex("let u = 'http://x'; // c\nlet r = /[\"'/]+/g; let t = `a\n// b`;\n", "c").code == ["let u = 0;", "let r =0; let t = 0;"]
+    assert L.lex("fn f<'a>(x: &'a str, c: char) { g('\"', \"s\") }\n", "rust").code == ["fn f<'a>(x: &'a str, c: char) { g(0, 0) }"]
+    assert L.lex("/* never closed\ncode();\n", "c").code == [] and L.lex("", "c") == L.Lexed([], [], [], 0)
+    assert L.family("/a/b.PY", "go") == "hash" and L.family(None, " Ruby ") == "hash" and L.family(None, None) == "c" and L.family("/a/Makefile", "php") == "both"
+
+
+def test_canonical_layout():
+    assert L.canonical(["for(a=0;b<c;d++){e(f,g)}"]) == ["for(a= 0; b< c; d++) { e(f, g)}"]
