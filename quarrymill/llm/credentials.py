@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,7 +55,7 @@ TOKENS = {
 NAMES = (
     "password passwd passwort kennwort pwd pw pass passphrase pass_phrase passcode motdepasse mot_de_passe contrasena contraseña senha secret token "
     "apikey api_key api-key accesskey access_key access-key secretkey secret_key privatekey private_key encryptionkey encryption_key signingkey "
-    "signing_key hmackey hmac_key licensekey license_key masterkey master_key auth auth-token private-token credential credentials"
+    "signing_key hmackey hmac_key licensekey license_key masterkey master_key accountkey account_key auth auth-token private-token credential credentials"
 ).split()
 #: Parameters of an address that carry a secret.
 PARAMETERS = "token access_token auth_token api_key apikey key sig signature secret password passwd pwd auth".split()
@@ -66,25 +67,33 @@ _SEP = re.compile(r"[\"'\]]{0,2}[ \t]*(?:=>|:=|=(?!=)|:(?!:))[ \t]*")
 _OPEN = re.compile(rf"([fFbBrRuU]{{0,2}})({_QUOTE})")
 _JOIN = re.compile(rf"[ \t]*(?:\+|\.\.?|<>|\\)?[ \t]*(?:\r?\n[ \t]*(?:\+|\.\.?|<>)?[ \t]*)?({_QUOTE})")
 _JOINED = re.compile(r"[ \t]*(?:\+|\.\.?|<>|\\)|[ \t]*\r?\n[ \t]*(?:\+|\.\.?|<>)")
-_BARE = re.compile(r"[^\s\"'`;,<>(){}\[\]]+")
 _REST = re.compile(r"[^\s\"'`;]+")
+_PART = re.compile(r"[^\s\"'`;&]+")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,\-]|\\[nr]|[\"'][ \t]*\+?[ \t]*\r?\n?[ \t]*[\"'])*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_OPEN = re.compile(r"(?:[A-Za-z0-9+/=]{20,}|[A-Za-z0-9+/]+={0,3}(?=\\n|\s|$)|\\[nr]|[ \t\r\n])*")
-_URL = re.compile(r"://([^\s:/@\"'`<>?#]*):([^\s/\"'`<>]+?)@(?=[\w\[${.-])")
+_URL = re.compile(r"://([^\s:/@\"'`<>?#]{0,256}):([^\s/\"'`<>]{1,512}?)@(?=[\w\[${.-])")
 _BEARER = re.compile(r"(?:bearer|token)[ \t]+([A-Za-z0-9._~+/=\-]{8,})", re.I)
 _BASIC = re.compile(r"basic[ \t]+([A-Za-z0-9+/]{6,}={0,2})", re.I)
 _HEADER = re.compile(r"[\"']?[ \t]*[:,=][ \t]*[\"']?([^\s\"'`<>${}]{8,})")
 _COOKIE = re.compile(r"cookie[\"']?[ \t]*[:=][ \t]*[\"']?[\w-]*(?:sess|sid|token|auth)[\w-]*=([^\s\"'`;<>${}]{6,})", re.I)
 _FLAG = re.compile(r"-p([\"']?)([^\s\"'`<>|;]{4,})")
-_CLIENT = re.compile(r"\b(?:mysql|mariadb|mysqldump|mysqladmin|mongo|sqlcmd)\b[^\n]*$")
+_CLIENT = re.compile(r"\b(?:mysql|mariadb|mysqldump|mysqladmin|mongo|sqlcmd)\b")
+_USER = re.compile(r"(?:-u|--user)[ =]?([\"']?)[^\s:\"'`$]{1,128}:([^\s\"'`]{4,256})")
+_FETCH = re.compile(r"\b(?:curl|wget|http|https|svn)\b")
+#: What stands before a name inside a list of settings: quoted, and not quoted (connection strings of a properties file).
+_LISTED = re.compile(r"[;&?][ \t]*[\w ]*$|[\"'][\w ]*$")
+_CONNECTED = re.compile(r"(?:^|[\w.\]])[ \t]*[=:][^\"'`\n]*[\w=/][^\"'`\n]*;[ \t]*[\w ]*$")
+#: A name handed to a command: docker run -e NAME=, java -Dname=.
+_HANDED = re.compile(r"(?:^|\s)(?:-e|--env|--build-arg|--set|-D|env)[ =]?[\w.\-]*$")
+_SETTING = re.compile(r"[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|//\S*:)?[\w.\-]*$")
 _CALL = re.compile(rf"\w*\([ \t]*(?:\w+[ \t]*,[ \t]*)?({_QUOTE})")
 _DEFAULT = re.compile(rf"[\"'\]]?[ \t]*(?:,|\)[ \t]*\{{|\]?[ \t]*(?:\|\||\?\?|\?:|\bor\b))[ \t]*({_QUOTE})")
 _ENV = re.compile(r"(?:getenv\(|get_env\(|environ\.get\(|process\.env[.\[]|ENV\.fetch\(|env\(|getProperty\()[ \t]*[\"']?\w*$", re.I)
 _XMLVALUE = re.compile(r"[\"'][ \t]+value[ \t]*=[ \t]*([\"'])")
 _XMLTEXT = re.compile(r">[ \t]*([^\s<>]{4,})[ \t]*</")
 _NOTE_VALUE = re.compile(r"(?:[^\n:/]{0,60}[:/]|[^\n:/]{0,12}?)[ \t]+([^\s\"'`<>]{5,})[ \t]*(?:-->|\*/)?[ \t]*(?=\r?\n|$)")
-_COMMENT = re.compile(r"^[ \t]*(?://|#|<!--|/?\*|--|;|\"\"\"|REM\b)", re.I)
+_COMMENT = re.compile(r"[ \t]*(?://|#|<!--|/?\*|--|;|\"\"\"|REM\b)", re.I)
 _REFERENCE = re.compile(r"\$\{|\$\(|\{\{|<%|%\(|\$[A-Za-z_]\w*$|\{[\w.\[\]\"']+\}$|#\{|@@|%[sd]$|\$env:")
 _DUMMY = re.compile(
     r"(?:[x*.\-_#•0]+|your[-_ ]?.*|.*[-_]here|<.*>?|change[-_]?me.*|replace[-_]?me.*|todo.*|example.*|placeholder.*|redacted.*|dummy.*|sample[-_]?(?:key|token|secret|password)|insert[-_].*"
@@ -93,6 +102,36 @@ _DUMMY = re.compile(
 )
 _ROOT = re.compile(r"(?:process|os|env|config|cfg|conf|settings|secrets?|vault|ctx|context|system|deno)\.|(?:self|this|props|properties|options|opts|args|params|request|req|app|data|var|local|module|each)\.[A-Za-z_.]+$", re.I)
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Endings of files that hold settings, where a bare value needs no sign that it is none of code.
+SETTINGS = "env properties ini cfg conf config toml yaml yml tfvars npmrc netrc pgpass".split()
+#: A longer value is no credential; so far back a name or a command is looked for. Bounds the work at each hit, however long a line is.
+LONGEST = 4096
+BEFORE = 2000
+
+
+class Text:
+    """A text with its line starts and quotes, so that each hit is placed in constant time on lines of any length."""
+
+    def __init__(self, text: str, file: str | None = None):
+        self.text = text
+        self.settings = bool(file) and file.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() in SETTINGS
+        self._lines: list[int] | None = None
+        self._quotes: list[int] | None = None
+
+    def line(self, at: int) -> int:
+        """Where the line of a place begins."""
+        if self._lines is None:
+            self._lines = [0, *(m.end() for m in re.finditer("\n", self.text))]
+        return self._lines[bisect_right(self._lines, at) - 1]
+
+    def quoted(self, line: int, at: int) -> bool:
+        """Whether a place lies between quotes, by how many there are before it in its line."""
+        if self._quotes is None:
+            self._quotes = [m.start() for m in re.finditer("[\"']", self.text)]
+        return (bisect_left(self._quotes, at) - bisect_left(self._quotes, line)) % 2 == 1
+
+    def before(self, line: int, at: int) -> str:
+        return self.text[max(line, at - BEFORE) : at]
 
 
 def _build():
@@ -114,6 +153,8 @@ def _build():
         put(header, "header", None)
     put("cookie", "cookie", None)
     put(" -p", "flag", None)
+    put(" -u", "user", None)
+    put(" --user", "user", None)
     put(".login(", "login", None)
     for p in PARAMETERS:
         put(f"?{p}=", "parameter", None)
@@ -151,9 +192,15 @@ def _random(letters: str) -> bool:
     return sum(c in "aeiouAEIOU" for c in letters) < 0.25 * len(letters)
 
 
-def plausible(value: str, bare: bool = False) -> bool:
-    """Whether a value in the place of a secret is one: no placeholder, reference, prose or address."""
-    if len(value) < 5 or len(set(value)) < 3 or any(c.isspace() for c in value):
+def plausible(value: str, bare: bool = False, named: bool = False) -> bool:
+    """Whether a value in the place of a secret is one: no placeholder, reference, prose or address.
+
+    A literal behind a name (named) may have four characters, and one blank if it is no prose, that is, with a digit in it.
+    """
+    if not (4 if named else 5) <= len(value) <= LONGEST or len(set(value)) < 3:
+        return False
+    blanks = sum(c.isspace() for c in value)
+    if blanks and not (named and blanks == 1 and value.strip() == value and any(c.isdigit() for c in value)):
         return False
     if _DUMMY.match(value) or value.endswith("EXAMPLE") or "EXAMPLEKEY" in value or _REFERENCE.match(value) or "${" in value or "://" in value or "{{" in value:
         return False
@@ -173,7 +220,7 @@ def _quoted(text: str, at: int, quote: str) -> tuple[int, list[tuple[int, int]]]
     while True:
         end = at
         while True:
-            end = text.find(quote, end)
+            end = text.find(quote, end, at + LONGEST)
             if end < 0 or ("\n" in text[at:end] and len(quote) == 1 and quote != "`"):
                 return (at, pieces) if pieces else None
             back = end - 1
@@ -192,18 +239,19 @@ def _quoted(text: str, at: int, quote: str) -> tuple[int, list[tuple[int, int]]]
         quote, at = more[1], more.end()
 
 
-def _literal(text: str, at: int, quote: str, prefix: str = "") -> list[tuple[int, int]]:
+def _literal(text: str, at: int, quote: str, prefix: str = "", named: bool = False) -> list[tuple[int, int]]:
     got = _quoted(text, at, quote)
     if not got or not got[1]:
         return []
     value = "".join(text[a:b] for a, b in got[1])
     if "f" in prefix.lower() and "{" in value or quote == "`" and "${" in value:
         return []
-    return got[1] if plausible(value) else []
+    return got[1] if plausible(value, named=named) else []
 
 
-def _after_name(text: str, start: int, end: int) -> list[tuple[int, int]]:
+def _after_name(place: Text, start: int, end: int) -> list[tuple[int, int]]:
     """The value of a name that ends at `end`, as pieces."""
+    text = place.text
     nxt = text[end : end + 1]
     if nxt and _word(nxt):
         return _setter(text, start, end)
@@ -228,18 +276,19 @@ def _after_name(text: str, start: int, end: int) -> list[tuple[int, int]]:
     if q:
         if _PEM.match(text, q.end()):
             return []
-        return _literal(text, q.end(), q[2], q[1])
+        return _literal(text, q.end(), q[2], q[1], named=True)
     # A bare value: of a setting (rest of the line), or of a list of settings inside a literal.
-    line = text.rfind("\n", 0, start) + 1
-    inside = sum(text.count(c, line, start) for c in "\"'") % 2 == 1
-    setting = re.match(r"[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|//\S*:)?[\w.\-]*$", text[line:start])
-    if inside:
-        v = re.compile(r"[^\s\"'`;&]+").match(text, at)
-        if not v or not re.search(r"[;&?][ \t]*[\w ]*$|[\"'][\w ]*$", text[line:start]):
-            return []
-        return [v.span()] if plausible(v[0]) else []
-    if setting or _COMMENT.match(text[line:start]):
-        v = _REST.match(text, at)
+    line = place.line(start)
+    before = place.before(line, start)
+    assigned = "=" in m[0] and not m[0].strip(" \t=") and " " not in m[0]  # NAME=value of an environment or a properties file
+    if place.quoted(line, start):
+        v = _PART.match(text, at, at + LONGEST + 1)
+        return [v.span()] if v and _LISTED.search(before[-120:]) and plausible(v[0]) else []
+    if assigned and (_CONNECTED.search(before[-400:]) or _HANDED.search(before[-200:])):
+        v = _PART.match(text, at, at + LONGEST + 1)
+        return [v.span()] if v and plausible(v[0]) else []
+    if (start - line < BEFORE and _SETTING.fullmatch(before)) or _COMMENT.match(text, line, start):
+        v = _REST.match(text, at, at + LONGEST + 1)
         if not v:
             return []
         a, b = v.span()
@@ -247,8 +296,7 @@ def _after_name(text: str, start: int, end: int) -> list[tuple[int, int]]:
             return []
         if re.search(r"[A-Za-z_]\w*[(\[]", v[0]):
             return []
-        assigned = "=" in m[0] and not m[0].strip(" \t=") and " " not in m[0]  # NAME=value of an environment or a properties file
-        return [(a, b)] if plausible(v[0], not (assigned and v[0].isalpha())) else []
+        return [(a, b)] if plausible(v[0], not ((assigned or place.settings) and v[0].isalpha())) else []
     return []
 
 
@@ -273,10 +321,11 @@ def _name_begins(text: str, start: int, word: str) -> bool:
     return (before.islower() and text[start].isupper()) or (before.isupper() and text[start : start + len(word)].isupper() and len(word) > 2)
 
 
-def _table(text: str, start: int, end: int) -> list[tuple[int, int]]:
+def _table(place: Text, start: int, end: int) -> list[tuple[int, int]]:
     """The value below a column whose title is a secret's name (separated values)."""
-    line, stop = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    if stop < 0:
+    text = place.text
+    line, stop = place.line(start), text.find("\n", end, end + BEFORE)
+    if stop < 0 or start - line > BEFORE:
         return []
     title = text[line:stop].rstrip("\r")
     sep = next((s for s in (";", "\t", "|", ",") if s in title), None)
@@ -301,8 +350,9 @@ def _table(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[int, int]]]:
+def _at(place: Text, kind: str, start: int, end: int, extra) -> list[list[tuple[int, int]]]:
     """Credentials announced by a hit at start..end, each a list of spans."""
+    text = place.text
     if kind == "token":
         m = extra.match(text, start)
         if m and not (start and _word(text[start - 1])) and not (m.end() < len(text) and _word(text[m.end()])) and plausible(m[0]):
@@ -342,8 +392,11 @@ def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[in
             return [[m.span(1)]]
     elif kind == "flag":
         m = _FLAG.match(text, start + 1)
-        line = text.rfind("\n", 0, start) + 1
-        if m and _CLIENT.search(text[line:start]) and not m[2].startswith("$") and plausible(m[2]):
+        if m and _CLIENT.search(place.before(place.line(start), start)) and not m[2].startswith("$") and plausible(m[2]):
+            return [[m.span(2)]]
+    elif kind == "user":
+        m = _USER.match(text, start + 1)
+        if m and _FETCH.search(place.before(place.line(start), start)) and not m[2].startswith("$") and plausible(m[2]):
             return [[m.span(2)]]
     elif kind == "login":
         m = _CALL.match(text, end - 1)
@@ -355,8 +408,8 @@ def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[in
         if m and plausible(m[0]) and (re.search(r"[\d\-._]", m[0]) or len(m[0]) >= 16):
             return [[m.span()]]
     elif kind == "note":
-        line = text.rfind("\n", 0, start) + 1
-        if _COMMENT.match(text[line:start] or text[line : line + 3]):
+        line = place.line(start)
+        if _COMMENT.match(text, line, start if start > line else line + 3):
             m = _NOTE_VALUE.match(text, end)
             if m and plausible(m[1]) and re.search(r"[\d\-._!?#$]", m[1]) and not m[1].endswith((".", "?", "!;", ";")) | bool(re.fullmatch(r"[A-Za-z]+[!.?;]", m[1])):
                 return [[m.span(1)]]
@@ -364,19 +417,23 @@ def _at(text: str, kind: str, start: int, end: int, extra) -> list[list[tuple[in
                 return [[m.span(1)]]
     elif kind == "name":
         if _name_begins(text, start, text[start:end]):
-            spans = _after_name(text, start, end)
+            spans = _after_name(place, start, end)
             if spans:
                 return [spans]
-            return [[s] for s in _table(text, start, end)] if text[end : end + 1] in "\r\n;,\t|" and end < len(text) else []
+            return [[s] for s in _table(place, start, end)] if text[end : end + 1] in "\r\n;,\t|" and end < len(text) else []
     return []
 
 
-def find_credentials(text: str, chunk: int = CHUNK) -> list[list[tuple[int, int]]]:
-    """Credentials of a text in order, each the spans (from 0, end excluded) of its value: one, or one for each joined literal."""
+def find_credentials(text: str, chunk: int = CHUNK, file: str | None = None) -> list[list[tuple[int, int]]]:
+    """Credentials of a text in order, each the spans (from 0, end excluded) of its value: one, or one for each joined literal.
+
+    file, where its ending is that of a settings file, allows bare values of letters alone. Overlapping credentials are one.
+    """
     if not text:
         return []
     a = automaton()
     low = text.translate(_LOWER)
+    place = Text(text, file)
     overlap = 32  # longer than any word of the automaton
     hits: set[tuple[int, int, str]] = set()
     found: list[list[tuple[int, int]]] = []
@@ -386,58 +443,68 @@ def find_credentials(text: str, chunk: int = CHUNK) -> list[list[tuple[int, int]
                 start = base + last - size + 1
                 if (start, size, kind) not in hits:
                     hits.add((start, size, kind))
-                    found += _at(text, kind, start, start + size, extra)
+                    found += _at(place, kind, start, start + size, extra)
     found.sort(key=lambda s: (s[0][0], -s[-1][1]))
     out: list[list[tuple[int, int]]] = []
     for spans in found:
         if out and spans[0][0] < out[-1][-1][1]:
+            begin, end = out[-1][-1]
+            if spans[-1][1] > end:  # what reaches beyond is part of it
+                out[-1] = [*out[-1][:-1], (begin, spans[-1][1])]
             continue
         out.append(spans)
     return out
 
 
-def redact(text: str | None, placeholder: str = PLACEHOLDER) -> str | None:
-    """text with every credential's value replaced (of joined literals the first; the others become empty)."""
-    if not text:
-        return text
+def spliced(text: str, found: list[list[tuple[int, int]]], placeholder: str = PLACEHOLDER) -> str:
+    """text with the spans of every credential replaced (of joined literals the first; the others become empty)."""
     out, at = [], 0
-    for spans in find_credentials(text):
+    for spans in found:
         for k, (a, b) in enumerate(spans):
             out += [text[at:a], placeholder if k == 0 else ""]
             at = b
     return "".join(out) + text[at:]
 
 
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ids, starts, ends = [], [], []
-        for i, text in zip(b.iloc[:, 0], b.iloc[:, 1]):
-            for spans in find_credentials(text) if isinstance(text, str) else ():
-                ids.append(i)
-                starts.append(spans[0][0] + 1)
-                ends.append(spans[-1][1])
-        if ids:
-            yield pd.DataFrame({"row_id": ids, "start_pos": starts, "end_pos": ends})
+def redact(text: str | None, placeholder: str = PLACEHOLDER, file: str | None = None) -> str | None:
+    """text with every credential's value replaced; null stays null."""
+    return spliced(text, find_credentials(text, file=file), placeholder) if text else text
+
+
+def _rows(rows: DataFrame, key: str, text: str, file: str | None) -> DataFrame:
+    path = F.col(file) if file else F.lit(None).cast("string")
+    return rows.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), path.alias("file"))
+
 
+def _found(b: pd.DataFrame) -> Iterator[tuple[int, str, list[list[tuple[int, int]]]]]:
+    for i, t, f in zip(b.row_id, b.text, b.file):
+        found = find_credentials(t, file=f if isinstance(f, str) else None) if isinstance(t, str) else []
+        if found:
+            yield i, t, found
 
-def credential_places(rows: DataFrame, key: str, text: str) -> DataFrame:
+
+def credential_places(rows: DataFrame, key: str, text: str, file: str | None = None) -> DataFrame:
     """row_id, start_pos, end_pos (characters, from 1, end included) of each credential in a text column; repeated rows count once.
 
-    Null and empty texts have none; rows with a null key keep it.
+    Null and empty texts have none; rows with a null key keep it. file names the column with the text's path, if there is one.
     """
-    found = rows.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
-    return found.mapInPandas(_places, "row_id bigint, start_pos bigint, end_pos bigint").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, spans[0][0] + 1, spans[-1][1]) for i, _, found in _found(b) for spans in found]
+            if out:
+                yield pd.DataFrame(out, columns=["row_id", "start_pos", "end_pos"])
+
+    return _rows(rows, key, text, file).mapInPandas(run, "row_id bigint, start_pos bigint, end_pos bigint").distinct()
 
 
-def redacted(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """row_id, redacted text, credentials (their number) of each different row with a credential."""
+def redacted(rows: DataFrame, key: str, text: str, file: str | None = None) -> DataFrame:
+    """row_id, redacted text, credentials (their number) of each different row with a credential. A text is scanned once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, redact(t), len(find_credentials(t))) for i, t in zip(b["row_id"], b["text"]) if isinstance(t, str)]
-            out = [x for x in out if x[2]]
+            out = [(i, spliced(t, found), len(found)) for i, t, found in _found(b)]
             if out:
-                yield pd.DataFrame({"row_id": [x[0] for x in out], "text": [x[1] for x in out], "credentials": [x[2] for x in out]})
+                yield pd.DataFrame(out, columns=["row_id", "text", "credentials"])
 
-    found = rows.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
-    return found.mapInPandas(run, "row_id bigint, text string, credentials bigint").distinct()
+    return _rows(rows, key, text, file).mapInPandas(run, "row_id bigint, text string, credentials bigint").distinct()

@@ -18,12 +18,12 @@ def p4_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = credentials.credential_places(table(spark, sf, "pattern_locations"), "location_id", "matched_text")
+    found = credentials.credential_places(table(spark, sf, "pattern_locations"), "location_id", "matched_text", "file")
     return found.select(F.col("row_id").alias("location_id"), "start_pos")
 
 
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return credentials.redacted(table(spark, sf, "pattern_locations"), "location_id", "matched_text").withColumnRenamed("row_id", "location_id")
+    return credentials.redacted(table(spark, sf, "pattern_locations"), "location_id", "matched_text", "file").withColumnRenamed("row_id", "location_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

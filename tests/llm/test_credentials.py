@@ -95,3 +95,33 @@ def test_long_text_and_rows(spark):
     at = text.index(GH) + 1
     assert got == [(1, at, at + len(GH) - 1), (None, 2, 1 + len(GH))]
     assert K.credential_places(df.limit(0), "location_id", "matched_text").count() == 0
+
+
+@pytest.mark.parametrize("text,value", [
+    ("spring.datasource.url=jdbc:sqlserver://h:1433;user=sa;password=Vec81x1", "Vec81x1"),
+    ("ConnectionString=Server=db;User Id=u;Password=Gate12x9;Timeout=30", "Gate12x9"),
+    ("docker run -e DB_PASSWORD=Trait814x img", "Trait814x"),
+    ("curl -s -u admin:Taint1379 https://h.example/x", "Taint1379"),
+    ("AccountName=a;AccountKey=Qk1Zy83hLmWq0Rt5==;EndpointSuffix=h.example", "Qk1Zy83hLmWq0Rt5=="),
+    ('password: "four"', "four"),
+    ('password = "päss word1"', "päss word1"),
+])
+def test_more_announcements(text, value):
+    assert [text[s[0][0] : s[-1][1]] for s in K.find_credentials(text)] == [value]
+
+
+def test_file_tells_settings():
+    assert K.find_credentials("secret: meadow", file="/a/x.yaml") and not K.find_credentials("secret: meadow", file="/a/x.ts")
+
+
+def test_one_long_line():
+    import time
+
+    text = ";".join(f'var a{k}="b{k}",token=c.d("{k}"),u="http://x/{k}"' for k in range(22_000)) + f";x='{GH}'"
+    began = time.process_time()
+    assert len(text) > 1_000_000 and [text[a:b] for ((a, b),) in K.find_credentials(text)] == [GH]
+    assert time.process_time() - began < 4
+
+
+def test_overlapping_spans_are_merged():
+    assert K.spliced("abcdefgh", [[(1, 3)], [(5, 6), (7, 8)]], "#") == "a#de#g"
