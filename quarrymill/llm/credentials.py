@@ -86,6 +86,7 @@ _LISTED = re.compile(r"[;&?][ \t]*[\w ]*$|[\"'][\w ]*$")
 _CONNECTED = re.compile(r"(?:^|[\w.\]])[ \t]*[=:][^\"'`\n]*[\w=/][^\"'`\n]*;[ \t]*[\w ]*$")
 #: A name handed to a command: docker run -e NAME=, java -Dname=.
 _HANDED = re.compile(r"(?:^|\s)(?:-e|--env|--build-arg|--set|-D|env)[ =]?[\w.\-]*$")
+_CALLED = re.compile(r"[A-Za-z_][\w.]*(?:\(|\[.*\]$)")
 _SETTING = re.compile(r"[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|//\S*:)?[\w.\-]*$")
 _CALL = re.compile(rf"\w*\([ \t]*(?:\w+[ \t]*,[ \t]*)?({_QUOTE})")
 _DEFAULT = re.compile(rf"[\"'\]]?[ \t]*(?:,|\)[ \t]*\{{|\]?[ \t]*(?:\|\||\?\?|\?:|\bor\b))[ \t]*({_QUOTE})")
@@ -192,6 +193,11 @@ def _random(letters: str) -> bool:
     return sum(c in "aeiouAEIOU" for c in letters) < 0.25 * len(letters)
 
 
+def _mixed(value: str) -> bool:
+    """Whether $... is no variable's name: a digit amid letters of both cases."""
+    return bool(re.fullmatch(r"\$\w{6,}", value) and re.search(r"\d[A-Za-z]", value) and value.lower() != value != value.upper())
+
+
 def plausible(value: str, bare: bool = False, named: bool = False) -> bool:
     """Whether a value in the place of a secret is one: no placeholder, reference, prose or address.
 
@@ -202,7 +208,7 @@ def plausible(value: str, bare: bool = False, named: bool = False) -> bool:
     blanks = sum(c.isspace() for c in value)
     if blanks and not (named and blanks == 1 and value.strip() == value and any(c.isdigit() for c in value)):
         return False
-    if _DUMMY.match(value) or value.endswith("EXAMPLE") or "EXAMPLEKEY" in value or _REFERENCE.match(value) or "${" in value or "://" in value or "{{" in value:
+    if _DUMMY.match(value) or value.endswith("EXAMPLE") or "EXAMPLEKEY" in value or _REFERENCE.match(value) and not _mixed(value) or "${" in value or "://" in value or "{{" in value:
         return False
     if re.fullmatch(r"[A-Z][A-Z0-9_]*", value) and any(n.upper() in value for n in ("PASS", "SECRET", "TOKEN", "_KEY", "APIKEY", "AUTH", "PWD")) and not value.startswith(("AKIA", "ASIA")):
         return False
@@ -292,9 +298,11 @@ def _after_name(place: Text, start: int, end: int) -> list[tuple[int, int]]:
         if not v:
             return []
         a, b = v.span()
-        if text[b : b + 1] == ";" or v[0].endswith((",", ")")):
-            return []
-        if re.search(r"[A-Za-z_]\w*[(\[]", v[0]):
+        variable = assigned and re.fullmatch(r"[ \t]*(?:(?:export|set)[ \t]+)?[A-Z0-9_.\-]+=", text[max(line, at - BEFORE) : at])
+        if variable:  # of an environment: no code but a call may stand here
+            if _CALLED.match(v[0]):
+                return []
+        elif text[b : b + 1] == ";" or v[0].endswith((",", ")")) or re.search(r"[A-Za-z_]\w*[(\[]", v[0]):
             return []
         return [(a, b)] if plausible(v[0], not ((assigned or place.settings) and v[0].isalpha())) else []
     return []

@@ -103,6 +103,8 @@ def test_long_text_and_rows(spark):
     ("docker run -e DB_PASSWORD=Trait814x img", "Trait814x"),
     ("curl -s -u admin:Taint1379 https://h.example/x", "Taint1379"),
     ("AccountName=a;AccountKey=Qk1Zy83hLmWq0Rt5==;EndpointSuffix=h.example", "Qk1Zy83hLmWq0Rt5=="),
+    ("password = '$aB3dE5fG'", "$aB3dE5fG"),
+    ("DB_PASS=aB3(dE5f,", "aB3(dE5f,"),
     ('password: "four"', "four"),
     ('password = "päss word1"', "päss word1"),
 ])
@@ -110,6 +112,11 @@ def test_more_announcements(text, value):
     assert [text[s[0][0] : s[-1][1]] for s in K.find_credentials(text)] == [value]
 
 
+@pytest.mark.parametrize("text", ["password = '$dbPassword'", "DB_PASS=get_pass(1)", 'pw = "$SECRET"'])
+def test_references(text):
+    assert K.find_credentials(text) == []
+
+
 def test_file_tells_settings():
     assert K.find_credentials("secret: meadow", file="/a/x.yaml") and not K.find_credentials("secret: meadow", file="/a/x.ts")
 
