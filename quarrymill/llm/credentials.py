@@ -86,7 +86,7 @@ _LISTED = re.compile(r"[;&?][ \t]*[\w ]*$|[\"'][\w ]*$")
 _CONNECTED = re.compile(r"(?:^|[\w.\]])[ \t]*[=:][^\"'`\n]*[\w=/][^\"'`\n]*;[ \t]*[\w ]*$")
 #: A name handed to a command: docker run -e NAME=, java -Dname=.
 _HANDED = re.compile(r"(?:^|\s)(?:-e|--env|--build-arg|--set|-D|env)[ =]?[\w.\-]*$")
-_CALLED = re.compile(r"[A-Za-z_][\w.]*(?:\(|\[.*\]$)")
+_CALLED = re.compile(r"[A-Za-z_][\w.]*(?:\(.*\)|\[.*\])$|[A-Za-z_.]+[(\[]")
 _SETTING = re.compile(r"[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|//\S*:)?[\w.\-]*$")
 _CALL = re.compile(rf"\w*\([ \t]*(?:\w+[ \t]*,[ \t]*)?({_QUOTE})")
 _DEFAULT = re.compile(rf"[\"'\]]?[ \t]*(?:,|\)[ \t]*\{{|\]?[ \t]*(?:\|\||\?\?|\?:|\bor\b))[ \t]*({_QUOTE})")
