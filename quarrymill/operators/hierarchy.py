@@ -20,6 +20,10 @@ from quarrymill.plans.session import cut, discard
 
 #: Nodes of one partition, and of the last quotient.
 CAPACITY = 50_000
+#: Nodes and steps of their ways that are written out at once.
+EMITTED = 200_000
+#: More nodes than this are spread over all cores in the first round, so that it never is one task's.
+ALONE = 1000
 #: Parents with the most children are kept from drawing their children into their own partition; at most so many.
 HEAVY_PARENTS = 1024
 
@@ -44,14 +48,15 @@ def _fragments(with_path: bool):
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parent: dict[str, str | None] = {}
         step: dict[str, tuple[int, str, list[str]]] = {}
-        done: dict[str, tuple[str, str, int, str, list[str]]] = {}
+        # The way of a node is its own step, then its parent's way: links shared by all below it, written out only when emitted.
+        done: dict[str, tuple[str, str, int, str, tuple | None]] = {}
         for b in batches:
             for i, kind, target, hops, least, way in zip(b.id, b.kind, b.target, b.hops, b.least, b.way):
                 way = list(way) if way is not None else []
                 if kind == "exit":
                     parent[i], step[i] = target, (int(hops), least, way)
                 else:
-                    done[i] = (kind, target, int(hops), least, way)
+                    done[i] = (kind, target, int(hops), least, (way, None))
         for start in parent:
             trail: list[str] = []
             at: dict[str, int] = {}
@@ -64,34 +69,35 @@ def _fragments(with_path: bool):
                 loop = trail[at[node] :]
                 smallest = min(step[x][1] for x in loop)
                 for x in loop:
-                    done[x] = ("loop", smallest, -1, smallest, [])
+                    done[x] = ("loop", smallest, -1, smallest, None)
                 trail = trail[: at[node]]
                 nxt = done[node]
             elif node in done:
                 nxt = done[node]
             else:
-                nxt = ("exit", node, 0, "", [])
+                nxt = ("exit", node, 0, "", None)
             for x in reversed(trail):
-                kind, target, hops, least, way = nxt
+                kind, target, hops, least, links = nxt
                 if kind == "loop":
-                    nxt = ("loop", target, -1, target, [])
+                    nxt = ("loop", target, -1, target, None)
                 else:
                     h, l, w = step[x]
-                    nxt = (kind, target, hops + h, min(least, l) if least else l, w + way if with_path else [])
+                    nxt = (kind, target, hops + h, min(least, l) if least else l, (w, links) if with_path else None)
                 done[x] = nxt
-        rows = list(done.items())
-        for k in range(0, len(rows), 10_000):
-            part = rows[k : k + 10_000]
-            yield pd.DataFrame(
-                {
-                    "id": [i for i, _ in part],
-                    "kind": [r[0] for _, r in part],
-                    "target": [r[1] for _, r in part],
-                    "hops": [r[2] for _, r in part],
-                    "least": [r[3] for _, r in part],
-                    "way": [r[4] for _, r in part],
-                }
-            )
+        rows: list[tuple] = []
+        size = 0
+        for i, (kind, target, hops, least, links) in done.items():
+            way: list[str] = []
+            while links is not None:
+                way += links[0]
+                links = links[1]
+            rows.append((i, kind, target, hops, least, way))
+            size += 1 + len(way)
+            if size >= EMITTED:
+                yield pd.DataFrame(rows, columns=_FRAGMENT.names)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=_FRAGMENT.names)
 
     return follow
 
@@ -130,6 +136,8 @@ def solve_forest(links: DataFrame, with_path: bool = False, capacity: int = CAPA
     while True:
         n = cur.count()
         parts = -(-n // capacity)
+        if not levels and n > min(ALONE, capacity):
+            parts = max(parts, cur.sparkSession.sparkContext.defaultParallelism)
         spread = cur.repartition(1) if parts <= 1 else _spread(cur, parts)
         done = cut(spread.mapInPandas(_fragments(with_path), _FRAGMENT))
         discard(cur)
@@ -152,7 +160,8 @@ def solve_forest(links: DataFrame, with_path: bool = False, capacity: int = CAPA
             .join(up, "target")
             .select("id", "root_id", F.when(F.col("_depth") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("_depth") + F.col("hops")).alias("depth"), F.when(F.col("_depth") >= 0, F.concat("_own", "_way")).alias("way"))
         )
-        solved = finished(level).unionByName(below)
+        last, solved = solved, cut(finished(level).unionByName(below))
+        discard(last, level)
     out = solved.select("id", "root_id", "depth", *([F.when(F.col("depth") >= 0, F.reverse("way")).alias("path")] if with_path else []))
     return out
 

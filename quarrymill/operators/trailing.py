@@ -2,34 +2,40 @@
 
 Block decomposition: days are cut into blocks as long as the window. Inside a block, a prefix sum and a suffix
 sum are kept; the window that ends on day d is the prefix sum at d joined with the suffix sum that begins L-1 days
-earlier, in the block before. Nothing is subtracted, so no total carries the rounding of another.
+earlier, in the block before. Each series is padded with L-1 empty days before its first, so that every day has both. Nothing is
+subtracted, so no total carries the rounding of another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def daily_series(readings: DataFrame, key: str = "key", day: str = "day", value: str = "value") -> DataFrame:
-    """key, day, first_day, total, n: one row for each key and day from its first to its last, days without readings included.
+#: Days of the years 1970 to 9999: a reading at another time is none, for the days between would be without number.
+FIRST_DAY, LAST_DAY = 0, 2_932_896
 
-    readings: key, day (days since the epoch), value; rows with a null in any of them are no reading. Readings are
-    summed per key and day before anything is gathered by key, so a hot key costs one row a day. An empty input
-    gives an empty result; other columns are ignored.
+
+def daily_series(readings: DataFrame, key: str = "key", day: str = "day", value: str = "value", pad: int = 29) -> DataFrame:
+    """key, day, first_day, total, n: one row for each key and day from `pad` days before its first to its last, days without readings included.
+
+    readings: key, day (days since the epoch), value; rows with a null in any of them, or outside of the years 1970 to 9999, are no
+    reading. Readings are summed per key and day before anything is gathered by key, so a hot key costs one row a day. An
+    empty input gives an empty result; other columns are ignored.
     """
     daily = (
-        readings.where(F.col(key).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull())
+        readings.where(F.col(key).isNotNull() & F.col(day).between(FIRST_DAY, LAST_DAY) & F.col(value).isNotNull())
         .groupBy(F.col(key).alias("key"), F.col(day).cast("bigint").alias("day"))
         .agg(F.sum(F.col(value).cast("double")).alias("total"), F.count(F.lit(1)).alias("n"))
     )
     w = Window.partitionBy("key").orderBy("day")
+    first = F.min("day").over(w)
     spaced = daily.select(
-        "*", F.coalesce(F.lead("day").over(w) - 1, F.col("day")).alias("until"), F.min("day").over(w).alias("first_day")
+        "*", F.coalesce(F.lead("day").over(w) - 1, F.col("day")).alias("until"), first.alias("first_day"), F.when(F.col("day") == first, F.col("day") - pad).otherwise(F.col("day")).alias("since")
     )
-    filled = spaced.select("key", "first_day", F.col("day").alias("at"), "total", "n", F.explode(F.sequence("day", "until")).alias("day"))
+    filled = spaced.select("key", "first_day", F.col("day").alias("at"), "total", "n", F.explode(F.sequence("since", "until")).alias("day"))
     real = F.col("day") == F.col("at")
     return filled.select(
         "key", "day", "first_day", F.when(real, F.col("total")).otherwise(0.0).alias("total"), F.when(real, F.col("n")).otherwise(0).cast("bigint").alias("n")
@@ -37,31 +43,23 @@ def daily_series(readings: DataFrame, key: str = "key", day: str = "day", value:
 
 
 def trailing(series: DataFrame, lengths: Sequence[int] = (7, 30), columns: Sequence[str] = ("total", "n")) -> DataFrame:
-    """series with, for each length L and column c, c_L: the sum of c over the L days ending that day.
+    """series from its first_day on with, for each length L and column c, c_L: the sum of c over the L days ending that day.
 
-    series must be dense (daily_series); days before the first count as 0. All windows share the partitioning by
+    series must be dense and padded with at least the longest L less one (daily_series). All windows share the partitioning by
     key, so there is one exchange of one row per key and day.
     """
     by_key = Window.partitionBy("key").orderBy("day")
     out = series
     for length in lengths:
-        block = F.floor(F.col("day") / length)
-        out = out.withColumn("_block", block).withColumn("_at", F.col("day") - block * length)
-        inside = Window.partitionBy("key", "_block")
-        up = inside.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        down = inside.orderBy("day").rowsBetween(0, Window.unboundedFollowing)
-        for c in columns:
-            out = out.withColumn(f"_up_{c}", F.sum(c).over(up)).withColumn(f"_down_{c}", F.sum(c).over(down))
-        for c in columns:
-            before: Column = F.when(F.col("_at") == length - 1, F.lit(0)).otherwise(F.coalesce(F.lag(f"_down_{c}", length - 1).over(by_key), F.lit(0)))
-            out = out.withColumn(f"{c}_{length}", F.col(f"_up_{c}") + before)
-        # In the first L-1 days the window reaches back before the series: what lies between is the whole first part.
-        for c in columns:
-            started = F.col("day") - F.col("first_day") < length - 1
-            running = F.sum(c).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
-            out = out.withColumn(f"{c}_{length}", F.when(started, running).otherwise(F.col(f"{c}_{length}")))
-        out = out.drop("_block", "_at", *[f"_{s}_{c}" for s in ("up", "down") for c in columns])
-    return out
+        out = out.withColumn("_block", F.floor(F.col("day") / length))
+        inside = Window.partitionBy("key", "_block").rowsBetween(Window.unboundedPreceding, 0)
+        up, down = inside.orderBy("day"), inside.orderBy(F.desc("day"))
+        out = out.withColumns({f"_up_{c}": F.sum(c).over(up) for c in columns}).withColumns({f"_down_{c}": F.sum(c).over(down) for c in columns})
+        whole = F.col("day") % length == length - 1  # the window is the block itself
+        before = {c: F.when(whole, F.lit(0)).otherwise(F.lag(f"_down_{c}", length - 1).over(by_key)) for c in columns}
+        out = out.withColumns({f"{c}_{length}": F.col(f"_up_{c}") + before[c] for c in columns})
+        out = out.drop("_block", *[f"_{s}_{c}" for s in ("up", "down") for c in columns])
+    return out.where("day >= first_day")
 
 
 def metric_readings(metrics: DataFrame) -> DataFrame:
@@ -84,7 +82,7 @@ def metric_readings(metrics: DataFrame) -> DataFrame:
 
 def metric_trailing(metrics: DataFrame, short: int = 7, long: int = 30) -> DataFrame:
     """metric_name, day, first_day and the totals, counts and daily averages of both periods."""
-    t = trailing(daily_series(metric_readings(metrics)), (short, long))
+    t = trailing(daily_series(metric_readings(metrics), pad=max(short, long) - 1), (short, long))
     return t.select(
         F.col("key").alias("metric_name"),
         "day",

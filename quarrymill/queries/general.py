@@ -19,16 +19,16 @@ def p1_trailing(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("metric_name", day_text(F.col("day")).alias("day"), "total_7", "average_7", "total_30", "average_30")
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return references.orphan_references(*[table(spark, sf, t) for t in ("feedback", "violations", "bridge_grounding_results", "memory_events")])
+def _sides(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, t) for t in ("feedback", "violations", "bridge_grounding_results", "memory_events")]
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).select("source_table", "row_id", "reason")
+    return references.orphan_references(*_sides(spark, sf)).select("source_table", "row_id", "reason")
 
 
 def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return references.orphan_counts(_orphans(spark, sf))
+    return references.orphan_counts(*_sides(spark, sf))
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
