@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -21,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.lexicon import Lexicon, compile_lexicon
-from quarrymill.plans.session import shared_folder, spread
+from quarrymill.plans.session import cut, discard, scratch, spread
 
 #: Words in the lexicon: the most frequent of all. Bounds what the driver sees.
 LEXICON_WORDS = 50_000
+#: Steps of the histogram of counts for each doubling.
+STEPS = 8
 #: Words that a worker keeps at once.
 KEPT_WORDS = 400_000
 
@@ -61,15 +62,15 @@ class Encoder:
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(vocabulary), special_tokens={})
         self.split_any = regex.compile(PATTERN).findall
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        lookup, merge = self.lexicon.ids if self.lexicon else (lambda w: None), self.bpe._encode_single_piece
+        # A word is what the pattern matches whole, so encoding it alone splits it no further: it is merged by its ranks.
+        lookup, merge = self.lexicon.ids if self.lexicon else (lambda w: None), self.bpe.encode_ordinary
 
         class Kept(dict):
             def __missing__(kept, word: str) -> tuple[int, ...]:  # noqa: N805
                 if len(kept) >= KEPT_WORDS:
                     kept.clear()
-                raw = word.encode()
-                ids = lookup(raw)
-                kept[word] = ids = tuple(merge(raw)) if ids is None else ids
+                ids = lookup(word.encode())
+                kept[word] = ids = tuple(merge(word)) if ids is None else ids
                 return ids
 
         self.kept = Kept()
@@ -108,34 +109,40 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(texts: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts (letters of ASCII, with the blank before them), at most `most`, that occur more than once."""
-    counts = spread(texts.where(F.length("text") > 0).select("text")).mapInArrow(_count_words, "word string, n bigint")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.collect()]
+    """The most frequent words of all texts (letters of ASCII, with the blank before them) that occur more than once: at most `most`.
+
+    A histogram of the counts, STEPS steps for each doubling, gives the least count of which at most `most` words have as much or
+    more; only these words are collected, however many tasks counted them.
+    """
+    counted = spread(texts.where(F.length("text") > 0).select("text")).mapInArrow(_count_words, "word string, n bigint")
+    counts = cut(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    sizes = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)  # 64 * STEPS rows at most
+    least, total = None, 0
+    for at, n in sizes:
+        if total + n > most:
+            break
+        least, total = at, total + n
+    words = [] if least is None else [r.word for r in counts.where(step >= least).orderBy("word").collect()]
+    discard(counts)
+    return words
 
 
 def write_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str:
     """Compile words with their ids to a file in the shared folder and give its path; where that is no mounted folder, spread the file with the job."""
-    merge = Encoder(vocabulary).bpe._encode_single_piece
-    data = compile_lexicon([(w.encode(), merge(w.encode())) for w in words])
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    where = urlparse(shared_folder(spark))
-    scheme = where.scheme or urlparse(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").scheme
-    if scheme == "file":
-        import os
-
-        os.makedirs(where.path, exist_ok=True)
-        path = f"{where.path.rstrip('/')}/{name}"
-        with open(path, "wb") as f:
-            f.write(data)
-        return path
+    merge = Encoder(vocabulary).bpe.encode_ordinary
+    data = compile_lexicon([(w.encode(), merge(w)) for w in words])
+    path = scratch(spark, "lexicon")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{name}")
-    stream = target.getFileSystem(conf).create(target)
-    stream.write(bytearray(data))
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    stream = files.create(target)
+    stream.write(data)
     stream.close()
-    spark.sparkContext.addFile(target.toString())
-    return f"spark-file:{name}"
+    if files.getScheme() == "file":
+        return urlparse(path).path
+    spark.sparkContext.addFile(path)
+    return f"spark-file:{path.rsplit('/', 1)[-1]}"
 
 
 def encode_documents(documents: DataFrame, vocabulary: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.plans.session import cut
+from quarrymill.plans.session import cut, cut_counting
 
-#: Buckets over which the ranking of one size is spread.
-BUCKETS = 64
+#: Rows of one bucket in which a size is ranked: buckets grow with the rows, so that none does.
+BUCKET_ROWS = 50_000
 #: Most capacities, and most rank intervals that are broadcast; more are joined by a shuffle.
 MOST_CAPACITIES = 1000
 MOST_BROADCAST = 200_000
@@ -89,13 +89,14 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _INTERVALS.split(", ")])
 
 
-def _ranked(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """rows with `rank` (from 0) within keys: of rows, or of the running sum of weight. Hot keys are spread over buckets."""
+def _ranked(rows: DataFrame, keys: list[str], count: int, weight: str | None = None) -> DataFrame:
+    """rows with `rank` (from 0) within keys: of rows, or of the running sum of weight. Hot keys are spread over buckets, as many as `count` rows need."""
+    buckets = max(8, -(-count // BUCKET_ROWS))
     w = F.col(weight) if weight else F.lit(1)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum(w).cast("bigint").alias("_n"))
     over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_offset"))  # BUCKETS rows a key
+    offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_offset"))  # as many rows a key as there are buckets
     inside = Window.partitionBy(*keys, "_bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum(w).over(inside), F.lit(0)))
     return local.join(offsets, [*keys, "_bucket"]).withColumn("rank", F.col("_offset") + F.col("_local")).drop("_bucket", "_offset", "_local")
@@ -116,10 +117,11 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     if not caps:
         return spark.createDataFrame([], schema)
     levels = F.array(*[F.lit(c).cast("bigint") for c in sorted({c for _, c in caps})])
-    items = cut(
+    items, many = cut_counting(
         sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("size", F.lit(0)).cast("bigint").alias("whole"), F.explode(levels).alias("capacity"))
         .withColumn("pieces", F.when(F.col("whole") > F.col("capacity"), F.floor(F.col("whole") / F.col("capacity"))).otherwise(0).cast("bigint"))
-        .withColumn("size", F.col("whole") - F.col("pieces") * F.col("capacity"))
+        .withColumn("size", F.col("whole") - F.col("pieces") * F.col("capacity")),
+        rows=F.lit(True),
     )
     counts = items.groupBy("capacity", "size").agg(F.count(F.lit(1)).alias("n"))  # at most capacity + 1 rows each
     swept = cut(counts.groupBy("capacity").applyInPandas(_sweep, _INTERVALS))
@@ -128,7 +130,7 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     if intervals.count() <= MOST_BROADCAST:
         intervals = F.broadcast(intervals)
 
-    ranked = _ranked(items.select("doc_id", "capacity", "size", "pieces"), ["capacity", "size"])
+    ranked = _ranked(items.select("doc_id", "capacity", "size", "pieces"), ["capacity", "size"], many["rows"])
     found = ranked.where("size > 0").join(intervals, ["capacity", "size"]).where("rank >= rank_from AND rank < rank_to")
     slot = (F.col("rank") - F.col("rank_from")) % F.col("per_container")
     packed = found.select(
@@ -140,7 +142,7 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
         (F.col("start") + slot * F.col("size")).alias("start_token"),
         F.col("size").alias("tokens"),
     )
-    large = _ranked(items.where("pieces > 0").select("doc_id", "capacity", "pieces"), ["capacity"], "pieces").join(opened, "capacity")
+    large = _ranked(items.where("pieces > 0").select("doc_id", "capacity", "pieces"), ["capacity"], many["rows"], "pieces").join(opened, "capacity")
     full = large.select("capacity", "doc_id", "opened", "rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece")).select(
         "capacity", "doc_id", "piece", (F.col("opened") + F.col("rank") + F.col("piece")).alias("container_id"), F.lit(0).cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("start_token"), F.col("capacity").alias("tokens")
     )
@@ -156,6 +158,6 @@ def fill_levels(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """capacity_name, containers, tokens, fill: how many containers are used and which share of their room is."""
     by = packed.where("tokens > 0").groupBy("capacity_name", "container_id").agg(F.sum("tokens").alias("t"))
     sums = by.groupBy("capacity_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").cast("bigint").alias("tokens"))
-    return sums.join(F.broadcast(capacities.select("capacity_name", "capacity_tokens").distinct().limit(MOST_CAPACITIES)), "capacity_name").select(
+    return sums.join(capacities.select("capacity_name", "capacity_tokens").distinct(), "capacity_name").select(
         "capacity_name", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill")
     )
