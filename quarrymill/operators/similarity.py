@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.graph import weak_parts
+from quarrymill.plans.session import cut
+
 
 def copies(df: DataFrame, key: str, content: Column) -> DataFrame:
     """hash, rep (smallest key), copies of each different content."""
@@ -20,6 +23,15 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(any_ == 0, F.lit(empty)).otherwise(both / any_)
 
 
+def _representatives(sets: DataFrame, key: str, items: str, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """rep (smallest key), block columns, _items of each different set that is not empty, and members(key, rep)."""
+    clean = sets.select(key, *block, F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("_items")).where(F.size("_items") > 0)
+    hashed = clean.withColumn("_h", F.sha2(F.to_json(F.struct("_items", *block)), 256))
+    reps = hashed.groupBy("_h").agg(F.min(F.struct(F.col(key).alias("rep"), *block, "_items")).alias("r")).select("_h", "r.*")
+    members = hashed.select("_h", key).join(reps.select("_h", "rep"), "_h").select(key, "rep")
+    return reps, members
+
+
 def similar_sets(sets: DataFrame, key: str, items: str, threshold: float, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Pairs of different sets with a Jaccard similarity of `threshold` at least, and the members of equal sets.
 
@@ -28,10 +40,7 @@ def similar_sets(sets: DataFrame, key: str, items: str, threshold: float, block:
     rare they are, and two sets that are similar enough share one among the first |A| - ceil(t |A|) + 1 of each. Frequent items
     thus seldom bring sets together. Empty sets are similar to none.
     """
-    clean = sets.select(key, *block, F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("_items")).where(F.size("_items") > 0)
-    hashed = clean.withColumn("_h", F.sha2(F.to_json(F.struct("_items", *block)), 256))
-    reps = hashed.groupBy("_h").agg(F.min(F.struct(F.col(key).alias("rep"), *block, "_items")).alias("r")).select("_h", "r.*")
-    members = hashed.select("_h", key).join(reps.select("_h", "rep"), "_h").select(key, "rep")
+    reps, members = _representatives(sets, key, items, block)
     exploded = reps.select("rep", *block, F.size("_items").alias("_n"), F.explode("_items").alias("_i"))
     counts = exploded.groupBy("_i").agg(F.count(F.lit(1)).alias("_f"))
     ordered = exploded.join(counts, "_i").groupBy("rep", *block).agg(F.array_sort(F.collect_list(F.struct("_f", "_i"))).alias("_o"), F.first("_n").alias("_n"))
@@ -47,13 +56,36 @@ def similar_sets(sets: DataFrame, key: str, items: str, threshold: float, block:
     return pairs, members
 
 
-def minhash_candidates(sets: DataFrame, key: str, items: str, bands: int = 32, rows: int = 4) -> DataFrame:
-    """a, b: keys whose signatures agree in a band of `rows` hashes. Equal signatures are paired with their smallest key alone."""
+def similar_classes(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
+    """key, class, links: the smallest key of all sets linked to a set by pairs of similar ones, and how many different sets are similar to it. Empty sets have no row."""
+    pairs, members = similar_sets(sets, key, items, threshold)
+    pairs = cut(pairs.select("a", "b"))
+    classes = weak_parts(pairs).select(F.col("id").alias("rep"), F.col("group_id").alias("class"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(classes, "rep", "left").join(links, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+#: Sets of one bucket that meet in one block.
+BUCKET_BLOCK = 500
+
+
+def minhash_pairs(sets: DataFrame, key: str, items: str, threshold: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+    """a, b, similarity of different sets (each by its smallest key) that agree in a band of `rows` hashes and whose Jaccard similarity is `threshold` at least.
+
+    Every two sets of a bucket meet, in blocks of BUCKET_BLOCK: none is left out. Sets of similarity s meet with probability 1 - (1 - s^rows)^bands.
+    """
+    reps, _ = _representatives(sets, key, items)
+    reps = cut(reps.select("rep", "_items"))
     least = lambda seed: F.array_min(F.transform(F.col("_items"), lambda x: F.xxhash64(F.lit(seed), x)))
-    signed = sets.select(key, F.array_distinct(items).alias("_items")).where(F.size("_items") > 0)
-    banded = signed.select(key, F.posexplode(F.array(*[F.xxhash64(*[least(b * rows + r) for r in range(rows)]) for b in range(bands)])).alias("_band", "_hash"))
-    first = banded.groupBy("_band", "_hash").agg(F.min(key).alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return banded.join(first, ["_band", "_hash"]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    banded = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(*[least(b * rows + r) for r in range(rows)]) for b in range(bands)])).alias("_band", "_hash"))
+    sizes = banded.groupBy("_band", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_band", "_hash", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int").alias("_blocks"))
+    met = cut(banded.join(sizes, ["_band", "_hash"]))
+    left = met.select("_band", "_hash", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("_block"), F.col("rep").alias("a"))
+    right = met.select("_band", "_hash", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("rep").alias("b"))
+    candidates = left.join(right, ["_band", "_hash", "_block"]).where("a < b").select("a", "b").distinct()
+    x, y = reps.select(F.col("rep").alias("a"), F.col("_items").alias("_x")), reps.select(F.col("rep").alias("b"), F.col("_items").alias("_y"))
+    both = candidates.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("similarity"))
+    return both.where(F.col("similarity") >= threshold - 1e-12)
 
 
 def spellings(df: DataFrame, name: str) -> DataFrame:
@@ -71,12 +103,12 @@ def near_names(df: DataFrame, block: str, name: str, most: int = 2) -> DataFrame
     names = df.select(block, name).distinct().withColumn("_len", F.length(name))
     width = F.greatest(F.floor(F.col("_len") / (most + 1)), F.lit(1)).cast("int")
     pieces = F.array(*[F.struct(F.lit(k).alias("k"), F.substring(F.col(name), k * width + 1, width).alias("p"), F.col("_len").alias("n")) for k in range(most + 1)])
-    cut = names.select(block, F.col(name).alias("a"), F.explode(pieces).alias("_c")).select(block, "a", "_c.*")
+    pieced = names.select(block, F.col(name).alias("a"), F.explode(pieces).alias("_c")).select(block, "a", "_c.*")
     # Every substring that one of those pieces could be, at a place moved by at most `most`.
     shifts = [d for d in range(-most, most + 1)]
     probes = names.select(block, F.col(name).alias("b"), "_len", F.explode(F.sequence(F.greatest(F.col("_len") - most, F.lit(1)), F.col("_len") + most)).alias("n"))
     w = F.greatest(F.floor(F.col("n") / (most + 1)), F.lit(1)).cast("int")
     places = F.array_distinct(F.flatten(F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.when(k * w + 1 + d >= 1, F.substring(F.col("b"), k * w + 1 + d, w)).alias("p")) for d in shifts]) for k in range(most + 1)])))
     probe = probes.select(block, "b", "n", F.explode(places).alias("_c")).select(block, "b", "n", "_c.*").where("p IS NOT NULL")
-    found = cut.join(probe, [block, "k", "p", "n"]).where("a < b").select(block, "a", "b").distinct()
+    found = pieced.join(probe, [block, "k", "p", "n"]).where("a < b").select(block, "a", "b").distinct()
     return found.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most)

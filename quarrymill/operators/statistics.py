@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quarrymill.functions import numeric
 
 #: Largest group for which the SQL of the single-outlier test has critical values; the operator has no such limit.
-MOST_TABULATED = 200
+MOST_TABULATED = 1500
 
 
 def zscore_outliers(df: DataFrame, group: str, value: str, threshold: float = 2.5, passes: int = 3) -> DataFrame:

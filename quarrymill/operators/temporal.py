@@ -44,13 +44,22 @@ def difference(before: DataFrame, after: DataFrame, key: str, value: str, shift:
     return j.withColumn("change", change).where(F.col("change").isNotNull()).select(key, "change")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, nr: str) -> DataFrame:
-    """left with `value` of the last row of right(key, at, nr, value) at or before its own time: a union and a window, no range join."""
+def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, nr: str, chunk: int = 3600) -> DataFrame:
+    """left with `value` of the last row of right(key, at, nr, value) at or before its own time (a timestamp): unions and windows, no range join.
+
+    right is reduced to its last row in each chunk of seconds; a running last over a key's chunks gives what each begins with, and
+    only rows of one key and one chunk are ordered together, however many a hot key has. Rows of left with a null key or time get null.
+    """
     both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType), "_nr": F.lit(None).cast("bigint")}).unionByName(
-        right.select(key, at, F.col(nr).cast("bigint").alias("_nr"), F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy(at, "_side", "_nr").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v", "_nr")
+        right.where(F.col(value).isNotNull()).select(key, at, F.col(nr).cast("bigint").alias("_nr"), F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True
+    ).withColumn("_c", F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / chunk))
+    lasts = both.where("_side = 0").groupBy(key, "_c").agg(F.max(F.struct(at, "_nr", "_v")).alias("_last"))
+    chunks = both.select(key, "_c").distinct().join(lasts, [key, "_c"], "left")
+    before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    begins = chunks.select(key, "_c", F.last("_last", ignorenulls=True).over(before)["_v"].alias("_carried"))
+    w = Window.partitionBy(key, "_c").orderBy(at, "_side", "_nr").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_now", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    return inside.join(begins, [key, "_c"], "left").withColumn(value, F.coalesce("_now", "_carried")).select(*left.columns, value)
 
 
 def within_after(left: DataFrame, right: DataFrame, keys: list[str], at_left: str, at_right: str, width: int) -> DataFrame:

@@ -118,6 +118,7 @@ def byte_entropy(text: pd.Series) -> pd.Series:
 def summary(text: pd.Series) -> pd.Series:
     """The two most central sentences by TextRank (cosine of word counts, damping 0.85), in their order."""
     import re
+    from collections import Counter
 
     import numpy as np
 
@@ -127,26 +128,29 @@ def summary(text: pd.Series) -> pd.Series:
         if not s:
             return s
         parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", s) if p.strip()]
-        if len(parts) <= sentences or len(parts) > 400:
-            return " ".join(parts[:sentences])
+        many = len(parts)
+        if many <= sentences:
+            return " ".join(parts)
         vocab: dict[str, int] = {}
-        rows = [[vocab.setdefault(w, len(vocab)) for w in re.findall(WORD, p.lower())] for p in parts]
-        m = np.zeros((len(parts), max(1, len(vocab))))
-        for k, r in enumerate(rows):
-            np.add.at(m[k], r, 1)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = m / np.where(norm == 0, 1, norm)
-        sim = m @ m.T
-        np.fill_diagonal(sim, 0)
-        out = sim.sum(axis=1, keepdims=True)
-        step = np.where(out > 0, sim / np.where(out == 0, 1, out), 1 / len(parts))
-        rank = np.full(len(parts), 1 / len(parts))
+        cells = Counter((k, vocab.setdefault(w, len(vocab))) for k, p in enumerate(parts) for w in re.findall(WORD, p.lower()))
+        # The word counts of the sentences as a sparse matrix of unit rows; similarities are only ever multiplied with, never written out.
+        row, col = (np.fromiter((c[x] for c in cells), np.int64, len(cells)) for x in (0, 1))
+        value = np.fromiter(cells.values(), float, len(cells))
+        value /= np.sqrt(np.bincount(row, value * value, many))[row]
+        own = np.bincount(row, value * value, many)  # a sentence's similarity to itself, left out
+
+        def times(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, value * np.bincount(col, value * x[row], len(vocab) or 1)[col], many) - own * x
+
+        out = times(np.ones(many))
+        linked = out > 1e-12
+        rank = np.full(many, 1 / many)
         for _ in range(100):
-            new = 0.15 / len(parts) + 0.85 * step.T @ rank
+            new = 0.15 / many + 0.85 * (times(np.where(linked, rank / np.where(linked, out, 1), 0)) + rank[~linked].sum() / many)
             if np.abs(new - rank).sum() < 1e-6:
                 break
             rank = new
-        best = sorted(sorted(range(len(parts)), key=lambda k: (-round(rank[k], 9), k))[:sentences])
+        best = sorted(sorted(range(many), key=lambda k: (-round(rank[k], 9), k))[:sentences])
         return " ".join(parts[k] for k in best)
 
     return text.map(one)

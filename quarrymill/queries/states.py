@@ -78,12 +78,12 @@ def event_replay(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH s AS (SELECT user_id, ts, event_id, value FROM events WHERE event_id % 10 = 0), q AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 10 = 5) SELECT q.event_id, s.value FROM q ASOF LEFT JOIN s ON q.user_id = s.user_id AND q.ts >= s.ts""")
+@query("""WITH s AS (SELECT user_id, ts, value FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) = 1) SELECT q.event_id, s.value FROM events q ASOF LEFT JOIN s ON q.user_id = s.user_id AND q.ts >= s.ts""")
 def asof_snapshot(t: Tables) -> DataFrame:
-    """Every tenth event is a snapshot; others look up the nearest one before. Rows, not a sample: the split makes the two sides."""
+    """The first event of a user and month is its snapshot; every event looks up the nearest one at or before it."""
     e = t.events.select("event_id", "user_id", "ts", "value")
-    left = e.where("event_id % 10 = 5").drop("value")
-    return T.as_of_join(left.withColumnRenamed("event_id", "asked"), e.where("event_id % 10 = 0"), "user_id", "ts", "value", "event_id").select(F.col("asked").alias("event_id"), "value")
+    first = e.where("value IS NOT NULL").groupBy("user_id", F.trunc("ts", "month").alias("month")).agg(F.min(F.struct("ts", "event_id", "value")).alias("s")).select("user_id", "s.*")
+    return T.as_of_join(e.select("user_id", "ts", F.col("event_id").alias("asked")), first, "user_id", "ts", "value", "event_id").select(F.col("asked").alias("event_id"), "value")
 
 
 _CH = ("contentupdated", "reclassified", "importancechanged", "confidencechanged")

@@ -175,3 +175,40 @@ def test_outliers_of_large_groups(spark):
     got = {r.g_: r for r in statistics.grubbs_outlier(df.withColumnRenamed("g", "g_"), "g_", "k", "v").collect()}
     assert {k: (r.k, r.outlier) for k, r in got.items()} == {1: (2000, True), 2: (0, False), 3: (99, True)}
     assert got[2].critical == pytest.approx(numeric.grubbs_criticals(40)[-1], abs=1e-12)
+
+
+def test_minhash_recall_and_classes(spark):
+    import random
+
+    random.seed(12)
+    base = [[random.randint(0, 400) for _ in range(30)] for _ in range(40)]
+    sets = []
+    for k, b in enumerate(base):
+        for j in range(4):
+            x = list(b)
+            for _ in range(j % 3):
+                x[random.randrange(30)] = random.randint(0, 400)
+            sets.append((f"s{k:02d}{j}", [str(v) for v in x]))
+    sets += [("hot%03d" % i, ["a", "b", "c", "d", "e", "f", "g", "h", "i", str(i)]) for i in range(60)] + [("empty", []), ("null", [None])]
+    df = spark.createDataFrame(sets, "id string, items array<string>")
+    exact = {(r.a, r.b) for r in similarity.similar_sets(df, "id", "items", 0.8)[0].collect()}
+    found = {(r.a, r.b) for r in similarity.minhash_pairs(df, "id", "items", 0.8).collect()}
+    assert found <= exact and len(exact) > 1700 and len(found) >= 0.99 * len(exact)
+    got = {r.id: (r["class"], r.links) for r in similarity.similar_classes(df, "id", "items", 0.8).collect()}
+    assert got["hot059"] == ("hot000", 59) and "empty" not in got and "null" not in got
+
+
+def test_as_of_join_over_chunks(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    random.seed(2)
+    at = lambda: datetime(2025, 1, 1) + timedelta(minutes=random.randint(0, 5000))
+    right = [(random.choice("xyz"), at(), n, n if random.random() < 0.8 else None) for n in range(300)]
+    left = [(random.choice("xyzw"), at(), i) for i in range(200)] + [(None, at(), 900), ("x", None, 901)]
+    r, l = spark.createDataFrame(right, "k string, ts timestamp, nr bigint, v bigint"), spark.createDataFrame(left, "k string, ts timestamp, i bigint")
+    got = {x.i: x.v for x in temporal.as_of_join(l, r, "k", "ts", "v", "nr").collect()}
+    for k, t, i in left:
+        old = [(b, n, v) for a, b, n, v in right if k and t and a == k and b <= t and v is not None]
+        assert got[i] == (max(old)[2] if old else None)
+    assert len(got) == len(left)
