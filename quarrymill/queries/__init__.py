@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ("general", "relational", "statistics", "content", "graphs", "states", "flows", "upkeep", "facts")
+_NAMES = ("general", "relational", "statistics", "content", "graphs", "states", "flows", "upkeep", "facts", "insight", "checks")
 
 
 def modules() -> list:
