@@ -212,3 +212,13 @@ def test_as_of_join_over_chunks(spark):
         old = [(b, n, v) for a, b, n, v in right if k and t and a == k and b <= t and v is not None]
         assert got[i] == (max(old)[2] if old else None)
     assert len(got) == len(left)
+
+
+def test_index_recall(spark):
+    """The index finds nine of ten of the exact neighbours, and every query has its rows."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = e.where("vec_id % 100 = 0")
+    exact = {(r["query"], r.vec_id) for r in vectors.nearest(e, "vec_id", "embedding", q, 10).collect()}
+    found = {(r["query"], r.vec_id) for r in vectors.indexed_nearest(e, "vec_id", "embedding", q, 10).collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact), len(found & exact) / len(exact)
+    assert vectors.indexed_nearest(e.limit(0), "vec_id", "embedding", q, 10).count() == 0
