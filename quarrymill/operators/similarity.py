@@ -23,6 +23,10 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(any_ == 0, F.lit(empty)).otherwise(both / any_)
 
 
+#: Longest prefix of which all pairs of items are made: 276 keys a set.
+MOST_PAIRED = 24
+
+
 def _representatives(sets: DataFrame, key: str, items: str, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """rep (smallest key), block columns, _items of each different set that is not empty, and members(key, rep)."""
     clean = sets.select(key, *block, F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("_items")).where(F.size("_items") > 0)
@@ -38,15 +42,25 @@ def similar_sets(sets: DataFrame, key: str, items: str, threshold: float, block:
     sets: key, items (array), block columns (only sets of one block are compared). Returns pairs(a, b, similarity) between the
     representatives (smallest key) of equal sets, and members(key, rep). Exact, by prefix filtering: items are ordered by how
     rare they are, and two sets that are similar enough share one among the first |A| - ceil(t |A|) + 1 of each. Frequent items
-    thus seldom bring sets together. Empty sets are similar to none.
+    thus seldom bring sets together. Where prefixes are short, sets meet by pairs of items of a prefix one longer, of which they share
+    two: the same result from far fewer candidates. Empty sets are similar to none.
     """
     reps, members = _representatives(sets, key, items, block)
     exploded = reps.select("rep", *block, F.size("_items").alias("_n"), F.explode("_items").alias("_i"))
     counts = exploded.groupBy("_i").agg(F.count(F.lit(1)).alias("_f"))
     ordered = exploded.join(counts, "_i").groupBy("rep", *block).agg(F.array_sort(F.collect_list(F.struct("_f", "_i"))).alias("_o"), F.first("_n").alias("_n"))
     sized = ordered.select("rep", *block, "_n", F.transform("_o", lambda x: x["_i"]).alias("_items"))
-    prefix = (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int")
-    heads = sized.select("rep", *block, "_n", F.explode(F.slice("_items", F.lit(1), prefix)).alias("_i"))
+    needed = F.ceil(F.col("_n") * threshold - 1e-9)
+    sized = cut(sized)
+    longest = sized.agg(F.max(F.col("_n") - needed + 2).alias("p")).first().p or 0
+    if longest <= MOST_PAIRED:
+        # One item more in the prefix, and similar sets share two of it: pairs of items are far rarer than items. Sets of which one common item is enough meet by it.
+        head = F.slice("_items", F.lit(1), F.least("_n", F.col("_n") - needed + 2).cast("int"))
+        both = F.flatten(F.transform("_p", lambda x, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda y: F.xxhash64(x, y))))
+        alone = F.when(needed <= 1, F.transform("_items", lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
+        heads = sized.withColumn("_p", head).select("rep", *block, "_n", F.explode(F.concat(both, alone)).alias("_i"))
+    else:
+        heads = sized.select("rep", *block, "_n", F.explode(F.slice("_items", F.lit(1), (F.col("_n") - needed + 1).cast("int"))).alias("_i"))
     left, right = heads.select(*block, "_i", F.col("rep").alias("a"), F.col("_n").alias("_na")), heads.select(*block, "_i", F.col("rep").alias("b"), F.col("_n").alias("_nb"))
     fits = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9)
     candidates = left.join(right, [*block, "_i"]).where(fits).select("a", "b").distinct()
