@@ -47,6 +47,24 @@ def contract_matches(backend: DataFrame, frontend: DataFrame, least: float = 0.5
     return pairs.select("b", "f", score.alias("score")).where(F.col("score") >= least)
 
 
+def field_mismatches(pairs: DataFrame, backend: DataFrame, frontend: DataFrame) -> DataFrame:
+    """b, f, field, problem of matched endpoints (b, f) by their fields(id, field, kind): missing in the back end, not asked for by the front end, or of another kind."""
+    x = pairs.select("b", "f").join(backend.select(F.col("id").alias("b"), "field", F.col("kind").alias("kb")), "b")
+    y = pairs.select("b", "f").join(frontend.select(F.col("id").alias("f"), "field", F.col("kind").alias("kf")), "f")
+    both = x.join(y, ["b", "f", "field"], "full_outer")
+    problem = F.when(F.col("kb").isNull(), "missing").when(F.col("kf").isNull(), "unused").when(F.col("kb") != F.col("kf"), "kind")
+    return both.withColumn("problem", problem).where("problem IS NOT NULL").select("b", "f", "field", "problem")
+
+
+def endpoint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """method, path, change of two versions' endpoints(method, path, fields): removed ones and lost fields break callers, the rest does not."""
+    side = lambda df, c: df.groupBy(F.upper("method").alias("method"), normal_path(F.col("path")).alias("path")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))).alias(c))
+    both = side(before, "_x").join(side(after, "_y"), ["method", "path"], "full_outer")
+    lost, new = F.size(F.array_except("_x", "_y")) > 0, F.size(F.array_except("_y", "_x")) > 0
+    change = F.when(F.col("_y").isNull(), "removed").when(F.col("_x").isNull(), "added").when(lost, "fields_lost").when(new, "fields_added")
+    return both.withColumn("change", change).where("change IS NOT NULL").select("method", "path", "change", F.col("change").isin("removed", "fields_lost").alias("breaking"))
+
+
 def suppressed(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """findings with suppressed_inline: a directive on the same line or the one before it, for all rules or a list with its own.
 

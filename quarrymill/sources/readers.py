@@ -54,6 +54,15 @@ def openapi_endpoints(specs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.lower("method").isin(*verbs)).select(key, F.upper("method").alias("method"), "path")
 
 
+def asyncapi_operations(specs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, channel, operation (publish or subscribe), message of the channels of AsyncAPI documents in JSON; broken ones give none."""
+    operation = "struct<message:struct<name:string>>"
+    channels = F.from_json(F.get_json_object(text, "$.channels"), f"map<string,struct<publish:{operation},subscribe:{operation}>>")
+    rows = specs.select(key, F.explode(channels).alias("channel", "_c"))
+    each = F.array_compact(F.array(*[F.when(F.col(f"_c.{o}").isNotNull(), F.struct(F.lit(o).alias("operation"), F.col(f"_c.{o}.message.name").alias("message"))) for o in ("publish", "subscribe")]))
+    return rows.select(key, "channel", F.explode(each).alias("_o")).select(key, "channel", "_o.*")
+
+
 def blocks(specs: DataFrame, key: str, text: str, keyword: str) -> DataFrame:
     """key, name, body of each `keyword name { body }` of a schema text (GraphQL type, Protobuf message or service)."""
     found = specs.select(key, F.explode(F.regexp_extract_all(text, F.lit(rf"(?m)^\s*({keyword}\s+\w+[^{{}}]*\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}})"), F.lit(1))).alias("_b"))

@@ -64,3 +64,25 @@ def test_calls_resolve_in_order(spark):
     got = {r.callee: (r.strategy, r.target) for r in facts.resolved_calls(f).where("doc_id = 0").collect()}
     assert got == {"near": ("same_file", 0), "far": ("imported", 1), "beside": ("same_folder", 3), "once": ("language", 4), "other": ("unique", 5), "get_it": ("fuzzy", 5), "nobody": ("unresolved", None)}
     assert rows(facts.import_edges(f), "src", "dst") == [(0, 1)]
+
+
+def test_asyncapi(spark):
+    from quarrymill.sources import readers
+
+    text = '{"channels": {"a/b": {"publish": {"message": {"name": "M"}}, "subscribe": {"message": {"name": "N"}}}, "c": {"subscribe": {}}}}'
+    specs = spark.createDataFrame([(1, text), (2, "{"), (3, None)], "id int, t string")
+    assert rows(readers.asyncapi_operations(specs, "id", "t"), "id", "channel", "operation") == [(1, "a/b", "publish"), (1, "a/b", "subscribe"), (1, "c", "subscribe")]
+
+
+def test_contracts(spark):
+    from quarrymill.operators import matching
+
+    field = "id int, field string, kind string"
+    pairs = spark.createDataFrame([(1, 7, 1.0)], "b int, f int, score double")
+    b, f = spark.createDataFrame([(1, "a", "int"), (1, "b", "string"), (2, "z", "int")], field), spark.createDataFrame([(7, "a", "string"), (7, "c", "int")], field)
+    assert rows(matching.field_mismatches(pairs, b, f), "field", "problem") == [("a", "kind"), ("b", "unused"), ("c", "missing")]
+    version = "method string, path string, fields array<string>"
+    old = spark.createDataFrame([("get", "/u/:id", ["a", "b"]), ("post", "/u", ["a"]), ("get", "/gone", [])], version)
+    new = spark.createDataFrame([("GET", "/u/{user}", ["a"]), ("POST", "/u/", ["a", "c"]), ("GET", "/new", [])], version)
+    got = rows(matching.endpoint_changes(old, new), "method", "path", "change", "breaking")
+    assert got == [("GET", "/gone", "removed", True), ("GET", "/new", "added", False), ("GET", "/u/:x", "fields_lost", True), ("POST", "/u", "fields_added", False)]
