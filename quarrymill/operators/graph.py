@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators import ways
 from quarrymill.plans.session import cut, cut_counting, discard
 
 
@@ -51,6 +52,11 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame
     return found if found is not None else front.withColumn("depth", F.lit(0))
 
 
+def _edges(rows: DataFrame) -> DataFrame:
+    """The edges of ways.gathered()."""
+    return rows.where(F.col("kind") == ways.EDGE).select("src", "dst")
+
+
 def _led_to(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """node of starts and of all they lead to: one table a round, however long the ways are."""
     seen = cut(starts.select("node", F.lit(True).alias("_new")))
@@ -72,7 +78,7 @@ class Reach(NamedTuple):
 
 
 def reach(edges: DataFrame, starts: DataFrame) -> Reach:
-    """What starts(node) lead to by ways of any length, without writing down the pairs that meet in the largest knot.
+    """What starts(node) lead to by ways of any length, without writing down the pairs that meet in the largest knot. For graphs beyond ways.LOCAL_EDGES.
 
     The node with the most ways through it stands for its strong component: all that leads to it leads to all it leads to.
     Other pairs have ways outside of that component; these are doubled in length until no pair is new. A graph without a large
@@ -333,7 +339,11 @@ def closes_cycle(edges: DataFrame, new: DataFrame, most: int | None = None) -> D
     asked = new.select(F.col("dst").alias("node"))
     loops = new.where("src = dst").select("src", "dst")
     if most is None:
-        into, out, rest = reach(edges, asked)
+        rows, many = ways.gathered(edges, asked=new)
+        if many <= ways.LOCAL_EDGES:
+            kind = edges.schema["src"].dataType.simpleString()
+            return ways.in_one_task(ways.closing, f"src {kind}, dst {kind}", rows)
+        into, out, rest = reach(_edges(rows), asked)
         through = new.join(into.withColumnRenamed("node", "dst"), "dst", "left_semi").join(out.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
         loops, back = loops.unionByName(through), rest.select(F.col("start").alias("dst"), F.col("node").alias("src"))
     else:

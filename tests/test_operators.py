@@ -222,3 +222,36 @@ def test_index_recall(spark):
     found = {(r["query"], r.vec_id) for r in vectors.indexed_nearest(e, "vec_id", "embedding", q, 10).collect()}
     assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact), len(found & exact) / len(exact)
     assert vectors.indexed_nearest(e.limit(0), "vec_id", "embedding", q, 10).count() == 0
+
+
+def knots(copies, size, tail):
+    """Separate rings of `size` nodes, each with a way of `tail` nodes to it and one from it."""
+    return [(f"{c}{p}{k}", f"{c}{q}{j}") for c in range(copies) for p, q, n in (("r", "r", size), ("i", "i", tail), ("o", "o", tail)) for k in range(n) for j in [(k + 1) % n if p == "r" else k + 1]] + [x for c in range(copies) for x in ((f"{c}i{tail}", f"{c}r0"), (f"{c}r0", f"{c}o0"))]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """How many rows each table has that graph operators write."""
+    from quarrymill.operators import ways
+    from quarrymill.plans import session
+
+    sizes = []
+
+    def noting(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    real = session.cut
+    monkeypatch.setattr(session, "cut", noting)
+    monkeypatch.setattr(graph, "cut", noting)
+    assert ways.LOCAL_EDGES > 1000
+    return sizes
+
+
+def test_cycles_of_separate_knots_write_no_pairs(spark, written):
+    links = knots(4, 40, 20)
+    e = spark.createDataFrame(links, "src string, dst string")
+    new = [(f"{c}o20", f"{c}i0") for c in range(4)] + [(f"{c}r5", f"{c}r3") for c in range(4)] + [("0i0", "1o3"), ("q", "q"), ("q", "p")]
+    assert rows(graph.closes_cycle(e, spark.createDataFrame(new, "src string, dst string"))) == sorted(x for x in new if x[0] == "q" and x[1] == "q" or x[0][0] == x[1][0] and x[0] != "q")
+    assert sum(written) <= len(links) + len(new)
