@@ -307,8 +307,14 @@ def cover_apart(pairs: DataFrame, taker: str, item: str) -> list[tuple[str, int]
 
 
 def reach_cover(edges: DataFrame, starts: DataFrame) -> list[tuple[str, int]]:
-    """cover() of all that starts(node) lead to by ways of any length, themselves left out."""
-    into, out, rest = reach(edges, starts)
+    """cover() of all that starts(node) lead to by ways of any length, themselves left out; by one task for up to ways.LOCAL_EDGES edges and starts."""
+    rows, many = ways.gathered(edges, starts)
+    if many <= ways.LOCAL_EDGES:
+        kind = edges.schema["src"].dataType.simpleString()
+        steps = ways.in_one_task(ways.cover, f"place int, node {kind}, n bigint", rows).collect()
+        discard(rows)
+        return [(r.node, r.n) for r in sorted(steps, key=lambda r: r.place)]
+    into, out, rest = reach(_edges(rows), starts)
     rest = cut(rest)
     chosen: list[tuple[str, int]] = []
     while many := out.count():  # what the large component leads to and is not covered

@@ -255,3 +255,11 @@ def test_cycles_of_separate_knots_write_no_pairs(spark, written):
     new = [(f"{c}o20", f"{c}i0") for c in range(4)] + [(f"{c}r5", f"{c}r3") for c in range(4)] + [("0i0", "1o3"), ("q", "q"), ("q", "p")]
     assert rows(graph.closes_cycle(e, spark.createDataFrame(new, "src string, dst string"))) == sorted(x for x in new if x[0] == "q" and x[1] == "q" or x[0][0] == x[1][0] and x[0] != "q")
     assert sum(written) <= len(links) + len(new)
+
+
+def test_cover_of_separate_knots_writes_no_pairs(spark, written):
+    links = knots(4, 40, 20)
+    e = spark.createDataFrame(links, "src string, dst string")
+    starts = spark.createDataFrame([(f"{c}{x}",) for c in range(4) for x in ("i0", "i9", "r7", "o3")], "node string")
+    assert graph.reach_cover(e, starts) == [(f"{c}i0", 81) for c in range(4)]
+    assert sum(written) <= len(links) + 16
