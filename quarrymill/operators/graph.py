@@ -108,8 +108,14 @@ def reach(edges: DataFrame, starts: DataFrame) -> Reach:
 
 
 def reach_counts(edges: DataFrame, starts: DataFrame, name: str = "n") -> DataFrame:
-    """node, n: how many of starts(node) lead to each node by ways of any length, itself left out; nodes that none leads to are left out."""
-    into, out, rest = reach(edges, starts)
+    """node, n: how many of starts(node) lead to each node by ways of any length, itself left out; nodes that none leads to are left out.
+
+    One task counts up to ways.LOCAL_EDGES edges and starts; beyond, pairs are written (reach)."""
+    rows, many = ways.gathered(edges, starts)
+    if many <= ways.LOCAL_EDGES:
+        kind = edges.schema["src"].dataType.simpleString()
+        return ways.in_one_task(ways.counts, f"node {kind}, n bigint", rows).withColumnRenamed("n", name)
+    into, out, rest = reach(_edges(rows), starts)
     through = out.join(into.withColumn("_self", F.lit(1)), "node", "left").select("node", (F.lit(into.count()) - F.coalesce("_self", F.lit(0))).cast("bigint").alias("n"))
     both = through.unionByName(rest.select("node", F.lit(1).cast("bigint").alias("n")))
     return both.groupBy("node").agg(F.sum("n").alias(name)).where(F.col(name) > 0)

@@ -263,3 +263,12 @@ def test_cover_of_separate_knots_writes_no_pairs(spark, written):
     starts = spark.createDataFrame([(f"{c}{x}",) for c in range(4) for x in ("i0", "i9", "r7", "o3")], "node string")
     assert graph.reach_cover(e, starts) == [(f"{c}i0", 81) for c in range(4)]
     assert sum(written) <= len(links) + 16
+
+
+def test_coverage_of_separate_knots_writes_no_pairs(spark, written):
+    links = knots(4, 40, 20)
+    e = spark.createDataFrame(links, "src string, dst string")
+    starts = spark.createDataFrame([(f"{c}{x}",) for c in range(4) for x in ("i0", "r7", "o3")], "node string")
+    want = {f"{c}i{k}": 1 for c in range(4) for k in range(1, 21)} | {f"{c}r{k}": 2 - (k == 7) for c in range(4) for k in range(40)} | {f"{c}o{k}": 2 + (k > 3) for c in range(4) for k in range(21)}
+    assert dict(rows(graph.reach_counts(e, starts, "tests"))) == want
+    assert sum(written) <= len(links) + 12
