@@ -272,3 +272,11 @@ def test_coverage_of_separate_knots_writes_no_pairs(spark, written):
     want = {f"{c}i{k}": 1 for c in range(4) for k in range(1, 21)} | {f"{c}r{k}": 2 - (k == 7) for c in range(4) for k in range(40)} | {f"{c}o{k}": 2 + (k > 3) for c in range(4) for k in range(21)}
     assert dict(rows(graph.reach_counts(e, starts, "tests"))) == want
     assert sum(written) <= len(links) + 12
+
+
+def test_callers_of_separate_knots_write_no_pairs(spark, written):
+    links = knots(4, 40, 20)
+    e = spark.createDataFrame(links, "src string, dst string")
+    want = {f"{c}i{k}": k for c in range(4) for k in range(1, 21)} | {f"{c}r{k}": 60 for c in range(4) for k in range(40)} | {f"{c}o{k}": 61 + k for c in range(4) for k in range(21)}
+    assert dict(rows(graph.reach_counts(e, e.select(F.col("src").alias("node")), "callers"))) == want
+    assert sum(written) <= 2 * len(links)
