@@ -156,22 +156,25 @@ def _spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every strongly connected component of two nodes or more, by colouring.
 
-    Nodes without an edge in or out are trimmed; each node is coloured by the least node that leads to it; a colour's own
-    node and what of the colour leads back to it is a component; the rest goes on.
+    One task finishes up to ways.LOCAL_EDGES edges. Beyond, nodes without an edge in or out are trimmed, round by round while a tenth of the
+    edges goes; each node is coloured by the least node that leads to it; a colour's own node and what of the colour leads back to it
+    is a component; the rest goes on.
     """
-    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    rows, many = ways.gathered(edges)
+    left, trim = _edges(rows), True
+    left._quarrymill_path = rows._quarrymill_path
     found: list[DataFrame] = []
-    while True:
-        while True:  # trim
+    while many:
+        if many <= ways.LOCAL_EDGES:
+            kind = edges.schema["src"].dataType.simpleString()
+            found.append(ways.in_one_task(ways.components, f"node {kind}, component {kind}", left.withColumn("kind", F.lit(ways.EDGE))))
+            break
+        if trim:
             ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-            kept = cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
-            before, now = left.count(), kept.count()
+            kept, n = cut_counting(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), rows=F.lit(True))
             discard(left)
-            left = kept
-            if now == before or not now:
-                break
-        if not now:
-            break
+            left, trim, many = kept, n["rows"] < 0.9 * many, n["rows"]
+            continue
         nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         colour = _spread_labels(left, nodes.withColumn("label", F.col("node")))
         s, d = colour.select(F.col("node").alias("src"), F.col("label").alias("_ls")), colour.select(F.col("node").alias("dst"), F.col("label").alias("_ld"))
@@ -180,9 +183,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         part = cut(back.join(colour, "node").select("node", F.col("label").alias("component")))
         found.append(part)
         gone = part.select("node")
-        rest = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        rest, n = cut_counting(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), rows=F.lit(True))
         discard(left)
-        left = rest
+        left, trim, many = rest, True, n["rows"]
     if not found:
         return left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     out = found[0]

@@ -280,3 +280,21 @@ def test_callers_of_separate_knots_write_no_pairs(spark, written):
     want = {f"{c}i{k}": k for c in range(4) for k in range(1, 21)} | {f"{c}r{k}": 60 for c in range(4) for k in range(40)} | {f"{c}o{k}": 61 + k for c in range(4) for k in range(21)}
     assert dict(rows(graph.reach_counts(e, e.select(F.col("src").alias("node")), "callers"))) == want
     assert sum(written) <= 2 * len(links)
+
+
+def test_components_behind_long_ways_take_few_rounds(spark, written):
+    e = spark.createDataFrame(knots(2, 3, 15), "src string, dst string")
+    assert rows(graph.strong_components(e)) == [(f"{c}r{k}", f"{c}r0") for c in range(2) for k in range(3)]
+    assert len(written) <= 3
+
+
+def test_graphs_beyond_one_task(spark, monkeypatch):
+    from quarrymill.operators import ways
+
+    monkeypatch.setattr(ways, "LOCAL_EDGES", 0)
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "a")]
+    e, s = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("a",), ("x",)], "node string")
+    assert rows(graph.strong_components(e)) == [("a", "a"), ("b", "a")]
+    assert rows(graph.reach_counts(e, s)) == [("a", 1), ("b", 2), ("c", 2), ("d", 2)]
+    assert graph.reach_cover(e, s) == [("x", 4)]
+    assert rows(graph.closes_cycle(e, spark.createDataFrame([("d", "a"), ("a", "d"), ("z", "z")], "src string, dst string"))) == [("d", "a"), ("z", "z")]
