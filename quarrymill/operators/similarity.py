@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators import overlap
 from quarrymill.operators.graph import weak_parts
 from quarrymill.plans.session import cut
 
@@ -23,8 +25,8 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(any_ == 0, F.lit(empty)).otherwise(both / any_)
 
 
-#: Longest prefix of which all pairs of items are made: 276 keys a set.
-MOST_PAIRED = 24
+#: Sets of a bucket, about.
+BUCKET_SETS = 100_000
 
 
 def _representatives(sets: DataFrame, key: str, items: str, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -36,38 +38,39 @@ def _representatives(sets: DataFrame, key: str, items: str, block: Sequence[str]
     return reps, members
 
 
+def _similar(reps: DataFrame, threshold: float, block: Sequence[str] = ()) -> DataFrame:
+    """a, b, similarity of the sets reps(rep, block columns, _items) that are similar enough.
+
+    Items are numbered by how rare they are. A set goes, as numbers, to the buckets of the items of its prefix (overlap.py); pairs are made and
+    verified inside a bucket and are never moved before they are found to be similar.
+    """
+    known = reps.dropna(subset=list(block)) if block else reps
+    reps = cut(known.select("rep", *block, "_items", F.monotonically_increasing_id().alias("_s"), (F.xxhash64(*block) if block else F.lit(0).cast("bigint")).alias("_g")))
+    exploded = reps.select("_s", "_g", F.explode("_items").alias("_i"))
+    # Written, so that the numbers stay the same: the order of (_f, _i).
+    numbers = cut(exploded.groupBy("_i").agg(F.count(F.lit(1)).alias("_f")).orderBy("_f", "_i").select("_i", F.monotonically_increasing_id().alias("_k")))
+    sized = cut(exploded.join(numbers, "_i").groupBy("_s", "_g").agg(F.sort_array(F.collect_list("_k")).alias("items")))
+    n = F.size("items")
+    first = n - F.ceil(n * threshold - 1e-9) + 1
+    total = sized.agg(F.sum(first)).first()[0] or 0
+    buckets = max(2 * reps.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_SETS))
+    placed = sized.select(F.explode(F.array_distinct(F.transform(F.slice("items", F.lit(1), first.cast("int")), lambda x: F.pmod(x, F.lit(buckets)).cast("int")))).alias("bucket"), F.col("_s").alias("s"), F.col("_g").alias("g"), "items")
+    found = placed.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(overlap.similar, threshold=threshold, buckets=buckets), overlap.FOUND)
+    end = lambda at, name: reps.select(F.col("_s").alias(at), F.col("rep").alias(name), F.struct(F.lit(0), *block).alias(f"_{name}"))
+    named = found.join(end("x", "u"), "x").join(end("y", "v"), "y").where("_u = _v")
+    return named.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "similarity").where("a < b")
+
+
 def similar_sets(sets: DataFrame, key: str, items: str, threshold: float, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Pairs of different sets with a Jaccard similarity of `threshold` at least, and the members of equal sets.
 
     sets: key, items (array), block columns (only sets of one block are compared). Returns pairs(a, b, similarity) between the
     representatives (smallest key) of equal sets, and members(key, rep). Exact, by prefix filtering: items are ordered by how
-    rare they are, and two sets that are similar enough share one among the first |A| - ceil(t |A|) + 1 of each. Frequent items
-    thus seldom bring sets together. Where prefixes are short, sets meet by pairs of items of a prefix one longer, of which they share
-    two: the same result from far fewer candidates. Empty sets are similar to none.
+    rare they are, and two sets that are similar enough share some among the first of each; they meet by combinations of up to three of these.
+    Empty sets are similar to none.
     """
     reps, members = _representatives(sets, key, items, block)
-    exploded = reps.select("rep", *block, F.size("_items").alias("_n"), F.explode("_items").alias("_i"))
-    counts = exploded.groupBy("_i").agg(F.count(F.lit(1)).alias("_f"))
-    ordered = exploded.join(counts, "_i").groupBy("rep", *block).agg(F.array_sort(F.collect_list(F.struct("_f", "_i"))).alias("_o"), F.first("_n").alias("_n"))
-    sized = ordered.select("rep", *block, "_n", F.transform("_o", lambda x: x["_i"]).alias("_items"))
-    needed = F.ceil(F.col("_n") * threshold - 1e-9)
-    sized = cut(sized)
-    longest = sized.agg(F.max(F.col("_n") - needed + 2).alias("p")).first().p or 0
-    if longest <= MOST_PAIRED:
-        # One item more in the prefix, and similar sets share two of it: pairs of items are far rarer than items. Sets of which one common item is enough meet by it.
-        head = F.slice("_items", F.lit(1), F.least("_n", F.col("_n") - needed + 2).cast("int"))
-        both = F.flatten(F.transform("_p", lambda x, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda y: F.xxhash64(x, y))))
-        alone = F.when(needed <= 1, F.transform("_items", lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
-        heads = sized.withColumn("_p", head).select("rep", *block, "_n", F.explode(F.concat(both, alone)).alias("_i"))
-    else:
-        heads = sized.select("rep", *block, "_n", F.explode(F.slice("_items", F.lit(1), (F.col("_n") - needed + 1).cast("int"))).alias("_i"))
-    left, right = heads.select(*block, "_i", F.col("rep").alias("a"), F.col("_n").alias("_na")), heads.select(*block, "_i", F.col("rep").alias("b"), F.col("_n").alias("_nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9)
-    candidates = left.join(right, [*block, "_i"]).where(fits).select("a", "b").distinct()
-    full = sized.select("rep", "_items")
-    both = candidates.join(full.select(F.col("rep").alias("a"), F.col("_items").alias("_x")), "a").join(full.select(F.col("rep").alias("b"), F.col("_items").alias("_y")), "b")
-    pairs = both.select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-    return pairs, members
+    return _similar(reps, threshold, block), members
 
 
 def similar_classes(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:

@@ -298,3 +298,50 @@ def test_graphs_beyond_one_task(spark, monkeypatch):
     assert rows(graph.reach_counts(e, s)) == [("a", 1), ("b", 2), ("c", 2), ("d", 2)]
     assert graph.reach_cover(e, s) == [("x", 4)]
     assert rows(graph.closes_cycle(e, spark.createDataFrame([("d", "a"), ("a", "d"), ("z", "z")], "src string, dst string"))) == [("d", "a"), ("z", "z")]
+
+
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def common_sets(n):
+    """Sets that nearly all have some items in common, few of them most."""
+    import random
+
+    random.seed(13)
+    return [(f"s{k:03d}", sorted(f"w{x:02d}" for x in random.sample(range(30), 10))) for k in range(n)]
+
+
+def test_similar_sets_move_no_candidates(spark):
+    sets = common_sets(600)
+    before = shuffled(spark)
+    got = rows(similarity.similar_sets(spark.createDataFrame(sets, "id string, items array<string>"), "id", "items", 0.6)[0])
+    moved = shuffled(spark) - before
+    sim = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    assert got == [(a, b, sim(x, y)) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if sim(x, y) >= 0.6] and got
+    assert 0 < moved < 40_000
+
+
+def test_bucketed_sets_against_all_pairs(monkeypatch):
+    import math
+    import random
+
+    import pyarrow as pa
+
+    from quarrymill.operators import overlap
+
+    for seed in range(60):
+        random.seed(seed)
+        size, t, buckets = random.choice([5, 12, 40, 300]), random.choice([1 / 3, 0.5, 0.6, 0.8, 0.9, 1.0]), random.choice([1, 2, 5])
+        monkeypatch.setattr(overlap, "CHUNK", random.choice([3, 50, 1_000_000]))
+        monkeypatch.setattr(overlap, "MOST_KEYS", random.choice([1, 30, 400]))
+        base = [random.sample(range(size), min(size, random.randint(2, 60))) for _ in range(10)]
+        sets = {k: (random.choice([0, 0, -7]), sorted({*random.choice(base)[random.randint(0, 1) :], *random.sample(range(size), 2)})) for k in range(40)}
+        placed = [{"bucket": b, "s": k, "g": g, "items": x} for k, (g, x) in sets.items() for b in {v % buckets for v in x[: len(x) - math.ceil(len(x) * t - 1e-9) + 1]}]
+        got = [(min(r["x"], r["y"]), max(r["x"], r["y"])) for b in overlap.similar(iter(pa.Table.from_pylist(placed, overlap.SCHEMA).to_batches(max_chunksize=9)), t, buckets) for r in b.to_pylist()]
+        same = lambda x, y: len({*x} & {*y}) >= t * len({*x} | {*y}) - 1e-9 and {*x} & {*y}
+        assert sorted(got) == [(i, j) for i in sets for j in sets if i < j and sets[i][0] == sets[j][0] and same(sets[i][1], sets[j][1])]
