@@ -82,27 +82,19 @@ def similar_classes(sets: DataFrame, key: str, items: str, threshold: float) ->
     return members.join(classes, "rep", "left").join(links, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-#: Sets of one bucket that meet in one block.
-BUCKET_BLOCK = 500
-
-
 def minhash_pairs(sets: DataFrame, key: str, items: str, threshold: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
     """a, b, similarity of different sets (each by its smallest key) that agree in a band of `rows` hashes and whose Jaccard similarity is `threshold` at least.
 
-    Every two sets of a bucket meet, in blocks of BUCKET_BLOCK: none is left out. Sets of similarity s meet with probability 1 - (1 - s^rows)^bands.
+    Sets of similarity s meet with probability 1 - (1 - s^rows)^bands. Sets that agree in a band by chance are far more than the similar ones, so
+    the similar pairs are found first (_similar), and the bands of their sets alone are compared: the same rows.
     """
     reps, _ = _representatives(sets, key, items)
     reps = cut(reps.select("rep", "_items"))
+    pairs = cut(_similar(reps, threshold))
     least = lambda seed: F.array_min(F.transform(F.col("_items"), lambda x: F.xxhash64(F.lit(seed), x)))
-    banded = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(*[least(b * rows + r) for r in range(rows)]) for b in range(bands)])).alias("_band", "_hash"))
-    sizes = banded.groupBy("_band", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_band", "_hash", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int").alias("_blocks"))
-    met = cut(banded.join(sizes, ["_band", "_hash"]))
-    left = met.select("_band", "_hash", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("_block"), F.col("rep").alias("a"))
-    right = met.select("_band", "_hash", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("rep").alias("b"))
-    candidates = left.join(right, ["_band", "_hash", "_block"]).where("a < b").select("a", "b").distinct()
-    x, y = reps.select(F.col("rep").alias("a"), F.col("_items").alias("_x")), reps.select(F.col("rep").alias("b"), F.col("_items").alias("_y"))
-    both = candidates.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("similarity"))
-    return both.where(F.col("similarity") >= threshold - 1e-12)
+    banded = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("rep", F.array(*[F.xxhash64(*[least(b * rows + r) for r in range(rows)]) for b in range(bands)]).alias("_bands"))
+    met = pairs.join(banded.select(F.col("rep").alias("a"), F.col("_bands").alias("_x")), "a").join(banded.select(F.col("rep").alias("b"), F.col("_bands").alias("_y")), "b")
+    return met.where(F.exists(F.zip_with("_x", "_y", lambda x, y: x == y), lambda z: z)).select("a", "b", "similarity")
 
 
 def spellings(df: DataFrame, name: str) -> DataFrame:

@@ -345,3 +345,14 @@ def test_bucketed_sets_against_all_pairs(monkeypatch):
         got = [(min(r["x"], r["y"]), max(r["x"], r["y"])) for b in overlap.similar(iter(pa.Table.from_pylist(placed, overlap.SCHEMA).to_batches(max_chunksize=9)), t, buckets) for r in b.to_pylist()]
         same = lambda x, y: len({*x} & {*y}) >= t * len({*x} | {*y}) - 1e-9 and {*x} & {*y}
         assert sorted(got) == [(i, j) for i in sets for j in sets if i < j and sets[i][0] == sets[j][0] and same(sets[i][1], sets[j][1])]
+
+
+def test_minhash_moves_no_candidates(spark):
+    sets = [*common_sets(600), ("t1", list("abcdefghij")), ("t2", list("abcdefghik"))]
+    before = shuffled(spark)
+    got = rows(similarity.minhash_pairs(spark.createDataFrame(sets, "id string, items array<string>"), "id", "items", 0.8))
+    moved = shuffled(spark) - before
+    sim = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    exact = {(a, b): sim(x, y) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if sim(x, y) >= 0.8}
+    assert {(a, b): s for a, b, s in got}.items() <= exact.items() and len(got) >= 0.9 * len(exact) and got
+    assert 0 < moved < 20_000
