@@ -107,14 +107,24 @@ def reach(edges: DataFrame, starts: DataFrame) -> Reach:
     return Reach(into, out, rest.select("start", "node"))
 
 
-def reach_counts(edges: DataFrame, starts: DataFrame, name: str = "n") -> DataFrame:
-    """node, n: how many of starts(node) lead to each node by ways of any length, itself left out; nodes that none leads to are left out.
-
-    One task counts up to ways.LOCAL_EDGES edges and starts; beyond, pairs are written (reach)."""
-    rows, many = ways.gathered(edges, starts)
-    if many <= ways.LOCAL_EDGES:
-        kind = edges.schema["src"].dataType.simpleString()
-        return ways.in_one_task(ways.counts, f"node {kind}, n bigint", rows).withColumnRenamed("n", name)
+def reach_counts(edges: DataFrame, starts: DataFrame | None = None, name: str = "n") -> DataFrame:
+    """node, n: how many of starts(node) lead to each node by ways of any length, itself left out; nodes that none leads to are left out. Without starts, all nodes count.
+
+    One task counts up to ways.LOCAL_EDGES edges and starts; beyond, pairs are written (reach). Without starts that task reads the edges
+    where they lie, repeated ones too: nothing is moved or written, but if there are more of them than one task holds."""
+    kind = edges.schema["src"].dataType.simpleString()
+    if starts is None:
+        steps = edges.select(F.lit(ways.EDGE).alias("kind"), "src", "dst").where("src <> dst")
+        many = steps.count()
+        if many > ways.LOCAL_EDGES:
+            rows, many = ways.gathered(edges)
+            steps, starts = rows, _edges(rows).select(F.col("src").alias("node"))
+        if many <= ways.LOCAL_EDGES:
+            return steps.coalesce(1).mapInArrow(ways.callers, f"node {kind}, n bigint").withColumnRenamed("n", name)
+    else:
+        rows, many = ways.gathered(edges, starts)
+        if many <= ways.LOCAL_EDGES:
+            return ways.in_one_task(ways.counts, f"node {kind}, n bigint", rows).withColumnRenamed("n", name)
     into, out, rest = reach(_edges(rows), starts)
     through = out.join(into.withColumn("_self", F.lit(1)), "node", "left").select("node", (F.lit(into.count()) - F.coalesce("_self", F.lit(0))).cast("bigint").alias("n"))
     both = through.unionByName(rest.select("node", F.lit(1).cast("bigint").alias("n")))

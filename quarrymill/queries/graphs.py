@@ -19,8 +19,13 @@ _H = "h AS (SELECT * FROM aggregated_patterns QUALIFY row_number() OVER (PARTITI
 
 def edges(t: Tables) -> DataFrame:
     s = F.col("similarity")
+    return _candidates(t).groupBy("src", "dst").agg(F.max(F.when(s > 1, s / 100).otherwise(s)).alias("strength"))
+
+
+def _candidates(t: Tables) -> DataFrame:
+    """src, dst, similarity of the rows that stand for an edge, repeats among them."""
     m = t.merge_candidates.where("pattern_a IS NOT NULL AND pattern_b IS NOT NULL AND pattern_a <> pattern_b AND similarity >= 0")
-    return m.groupBy(F.col("pattern_a").alias("src"), F.col("pattern_b").alias("dst")).agg(F.max(F.when(s > 1, s / 100).otherwise(s)).alias("strength"))
+    return m.select(F.col("pattern_a").alias("src"), F.col("pattern_b").alias("dst"), "similarity")
 
 
 def of_category(t: Tables, *names: str) -> DataFrame:
@@ -47,8 +52,7 @@ def blast_radius(t: Tables) -> DataFrame:
 @query(f"WITH RECURSIVE {_E}, r AS (SELECT dst AS node, src AS caller FROM e UNION SELECT r.node, e.src FROM r JOIN e ON e.dst = r.caller) SELECT node, count(*) AS callers FROM r WHERE node <> caller GROUP BY 1")
 def blast_radius_transitive(t: Tables) -> DataFrame:
     """How many nodes lead to each by ways of any length."""
-    e = edges(t)
-    return G.reach_counts(e, e.select(F.col("src").alias("node")), "callers")
+    return G.reach_counts(_candidates(t), name="callers")
 
 
 @query(f"WITH {_E}, {_H} SELECT pattern_id AS node FROM h WHERE category <> 'testing' AND pattern_id NOT IN (SELECT dst FROM e)")

@@ -308,6 +308,33 @@ def shuffled(spark):
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
 
+def test_callers_are_counted_where_the_edges_lie(spark, written):
+    links = knots(4, 40, 20)
+    e = spark.createDataFrame(links + links[:50] + [("q", "q")], "src string, dst string").repartition(2).localCheckpoint()
+    want = {f"{c}i{k}": k for c in range(4) for k in range(1, 21)} | {f"{c}r{k}": 60 for c in range(4) for k in range(40)} | {f"{c}o{k}": 61 + k for c in range(4) for k in range(21)}
+    before = shuffled(spark)
+    assert dict(rows(graph.reach_counts(e, name="callers"))) == want
+    assert shuffled(spark) - before <= 2 and not written  # one row a partition, to count the edges
+
+
+def test_transitive_callers_of_the_query_move_nothing(spark, written):
+    from quarrymill.queries.graphs import QUERIES
+
+    before = shuffled(spark)
+    got = QUERIES["blast_radius_transitive"](spark, "/root/testdata/sf0.01").collect()
+    assert got and shuffled(spark) - before <= 2 and not written
+
+
+def test_callers_beyond_one_task(spark, monkeypatch):
+    from quarrymill.operators import ways
+
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "a")]
+    e = spark.createDataFrame(links * 2, "src string, dst string")
+    for most in (9, 4):  # the repeated edges are too many; the different ones are too many
+        monkeypatch.setattr(ways, "LOCAL_EDGES", most)
+        assert rows(graph.reach_counts(e)) == [("a", 2), ("b", 2), ("c", 3), ("d", 4)]
+
+
 def common_sets(n):
     """Sets that nearly all have some items in common, few of them most."""
     import random
